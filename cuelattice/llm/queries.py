@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelattice.llm.langid import label_code, language_segments
+from cuelattice.llm.langmodel import fit, labelled_sample
 from cuelattice.llm.plainform import plain_form
 from cuelattice.llm.runs import text_runs
 from cuelattice.operators.samples import block_key, counting_blocks
@@ -42,5 +44,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("video_id", "region", "first_sample", "last_sample", "n_obs", "duration_ms")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_runs)}
+def block_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of every block that has enough letters: video_id, block_id, label and those of language_segments."""
+    models = fit(labelled_sample(table(spark, sf_dir, "documents")))
+    blocks = counting_blocks(table(spark, sf_dir, "ocr_results"), "source_text", "language")
+    texts = blocks.select("video_id", "block_id", label_code(F.col("language")).alias("label"), F.col("source_text").alias("text"))
+    return language_segments(texts, models)
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_segments(spark, sf_dir).select("video_id", "block_id", "label", "seg_no", "lang", "confidence", "n_segments")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = block_segments(spark, sf_dir).where((F.col("n_segments") > 1) | (F.col("label") != F.col("lang")))
+    return found.select("video_id", "block_id", "seg_no", "lang")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_runs, p4_found, p4_segments)}
 ORACLES: dict[str, str] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.langid import label_code, language_segments
 from cuelattice.llm.langmodel import fit, labelled_sample
+from cuelattice.llm.pairs import WordBook, cache_pairs, cue_pairs, defective_pairs
 from cuelattice.llm.plainform import plain_form
 from cuelattice.llm.runs import text_runs
 from cuelattice.operators.samples import block_key, counting_blocks
@@ -44,6 +45,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("video_id", "region", "first_sample", "last_sample", "n_obs", "duration_ms")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = labelled_sample(table(spark, sf_dir, "documents"))
+    cues = cue_pairs(table(spark, sf_dir, "cues"), table(spark, sf_dir, "videos"))
+    pairs = cues.unionByName(cache_pairs(table(spark, sf_dir, "llm_cache")))
+    return defective_pairs(pairs, fit(sample), WordBook(sample)).distinct()
+
+
 def block_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of every block that has enough letters: video_id, block_id, label and those of language_segments."""
     models = fit(labelled_sample(table(spark, sf_dir, "documents")))
@@ -61,5 +69,5 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("video_id", "block_id", "seg_no", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_runs, p4_found, p4_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_runs, p3_found, p4_found, p4_segments)}
 ORACLES: dict[str, str] = {}

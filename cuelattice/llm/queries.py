@@ -10,6 +10,7 @@ from cuelattice.llm.langmodel import fit, labelled_sample
 from cuelattice.llm.pairs import WordBook, cache_pairs, cue_pairs, defective_pairs
 from cuelattice.llm.plainform import plain_form
 from cuelattice.llm.runs import text_runs
+from cuelattice.llm.truncation import cut_rates, length_hazards, text_endings, truncated
 from cuelattice.operators.samples import block_key, counting_blocks
 from cuelattice.session import table
 
@@ -69,5 +70,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("video_id", "block_id", "seg_no", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_runs, p3_found, p4_found, p4_segments)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_rates(table(spark, sf_dir, "documents"))
+
+
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths at which a source's texts end more often than at the lengths beside them."""
+    hazards = length_hazards(text_endings(table(spark, sf_dir, "documents")))
+    return hazards.where("significant").select("source", "measure", "length", "n", "at_risk", "hazard", "neighbours", "p")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_runs, p3_found, p4_found, p4_segments, p8_found, p8_rates, p8_limits)}
 ORACLES: dict[str, str] = {}

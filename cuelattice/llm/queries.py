@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.langid import label_code, language_segments
 from cuelattice.llm.langmodel import fit, labelled_sample
+from cuelattice.llm.neardup import near_duplicate_classes, near_duplicates
 from cuelattice.llm.pairs import WordBook, cache_pairs, cue_pairs, defective_pairs
 from cuelattice.llm.plainform import plain_form
 from cuelattice.llm.runs import text_runs
@@ -70,6 +71,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("video_id", "block_id", "seg_no", "lang")
 
 
+def long_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks = table(spark, sf_dir, "tracks").select(F.concat(F.lit("t:"), F.col("track_id").cast("string")).alias("rec_key"), F.col("source_text").alias("text"))
+    return block_texts(spark, sf_dir).unionByName(tracks)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(long_records(spark, sf_dir))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(long_records(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -84,5 +98,5 @@ def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hazards.where("significant").select("source", "measure", "length", "n", "at_risk", "hazard", "neighbours", "p")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_runs, p3_found, p4_found, p4_segments, p8_found, p8_rates, p8_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_runs, p3_found, p4_found, p4_segments, p5_found, p5_classes, p8_found, p8_rates, p8_limits)}
 ORACLES: dict[str, str] = {}

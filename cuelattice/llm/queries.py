@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuelattice.llm.langid import label_code, language_segments
 from cuelattice.llm.langmodel import fit, labelled_sample
 from cuelattice.llm.leakage import leaked_items
+from cuelattice.llm.mixing import copies, shares
 from cuelattice.llm.neardup import near_duplicate_classes, near_duplicates
 from cuelattice.llm.pairs import WordBook, cache_pairs, cue_pairs, defective_pairs
 from cuelattice.llm.plainform import plain_form
@@ -93,6 +94,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -107,5 +116,5 @@ def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hazards.where("significant").select("source", "measure", "length", "n", "at_risk", "hazard", "neighbours", "p")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_runs, p3_found, p4_found, p4_segments, p5_found, p5_classes, p6_found, p6_leaks, p8_found, p8_rates, p8_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_runs, p3_found, p4_found, p4_segments, p5_found, p5_classes, p6_found, p6_leaks, p7_copies, p7_shares, p8_found, p8_rates, p8_limits)}
 ORACLES: dict[str, str] = {}

@@ -16,8 +16,11 @@ are read whole; rows with equal doc_id each count.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuelattice.llm.plainform import plain_array
+from cuelattice.session import cut_lineage
 
 FDR = 0.01
 #: Lengths on either side whose hazards a hazard is tested against.
@@ -35,7 +39,9 @@ NEIGHBOURS = 30
 PROSE_SHARE = 0.98
 #: A pair of words that never occurs, beside this many occurrences of longer words in its place, is cut.
 PAIR_EVIDENCE = 5
-WHOLE, OPEN, MAYBE, WORD = 0, 1, 2, 3
+#: Cells that asked word beginnings are hashed to; the same number for any collection.
+CELLS = 1 << 20
+WHOLE, OPEN, WORD = 0, 1, 2
 MARKS = ".!?…。！？"
 CLOSERS = "\"'”’»」』)）]】"
 SENTENCE = regex.compile(rf"[。！？…]|[.!?](?=[{regex.escape(CLOSERS)}]*(?:\s*$|\s+[\p{{Lu}}\p{{Lo}}\p{{P}}\p{{S}}]))")
@@ -105,20 +111,48 @@ def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (before = '') and word pairs inside a batch's texts, the last word of each left out."""
+def cell(before: str, last: str) -> int:
+    return zlib.crc32(last.encode(), zlib.crc32(f"{before}\0".encode())) & (CELLS - 1)
+
+
+def asked_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: dict[tuple[str, str], int] = {}
-        for text in plain_array(batch.column("text").cast(pa.large_string())).to_pylist():
-            words = WORDS.findall((text or "").lower())[:-1]
-            for word in words:
-                counts["", word] = counts.get(("", word), 0) + 1
-            for pair in zip(words, words[1:]):
-                counts[pair] = counts.get(pair, 0) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in counts], pa.string()), pa.array([b for _, b in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
-            names=["before", "word", "n"],
-        )
+        found = {cell(a, b) for a, b in zip(batch.column("before").to_pylist(), batch.column("last").to_pylist())}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["cell"])
+
+
+def prefix_counts(load: Callable[[], np.ndarray]) -> Callable:
+    """How often asked word beginnings are whole words, and begin longer ones, inside texts; the last word of each is left out.
+
+    A beginning is asked for alone (before = '') or after a word, and looked up in cells of fixed
+    number, so what is counted besides the asked ones only costs time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = load().tobytes()
+        for batch in batches:
+            counts: Counter[tuple[str, str]] = Counter()
+            for text in plain_array(batch.column("text").cast(pa.large_string())).to_pylist():
+                words = WORDS.findall((text or "").lower())[:-1]
+                counts.update(zip(words, words[1:]))
+                if words:
+                    counts["", words[0]] += 1
+            singles: Counter[str] = Counter()
+            for (_, word), n in counts.items():
+                singles[word] += n
+            out: dict[tuple[str, str], list[int]] = {}
+            every = [*((k, n) for k, n in counts.items() if k[0]), *((("", w), n) for w, n in singles.items())]
+            for (before, word), n in every:
+                code = zlib.crc32(f"{before}\0".encode())
+                for i, letter in enumerate(word, 1):
+                    code = zlib.crc32(letter.encode(), code)
+                    if cells[code & (CELLS - 1)]:
+                        out.setdefault((before, word[:i]), [0, 0])[i < len(word)] += n
+            columns = [pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())]
+            columns += [pa.array([v[k] for v in out.values()], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["before", "last", "whole", "longer"])
+
+    return run
 
 
 @F.pandas_udf(T.DoubleType())
@@ -164,7 +198,7 @@ def text_endings(documents: DataFrame) -> DataFrame:
 
 def truncated(documents: DataFrame) -> DataFrame:
     """The cut documents: doc_id, source, n_chars, at_limit (the length is a significant one)."""
-    ends = text_endings(documents)
+    ends = cut_lineage(text_endings(documents))  # without the texts
     by_source = ends.groupBy("source").agg(F.avg(F.col("marked").cast("double")).alias("share"))
     limits = length_hazards(ends).where("significant").groupBy("source").agg(
         F.collect_set(F.when(F.col("measure") == "chars", F.col("length"))).alias("chars"), F.collect_set(F.when(F.col("measure") == "bytes", F.col("length"))).alias("bytes")
@@ -177,19 +211,16 @@ def truncated(documents: DataFrame) -> DataFrame:
     known = open_ends.select("doc_id", "source", "n_chars", "before", "last", judged.alias("state"), at_limit.alias("at_limit"))
     plainly = known.where(F.col("state") == OPEN)
     doubtful = known.where((F.col("state") == WORD) & F.col("last").isNotNull())
-    counts = (
-        documents.select("text").where(F.col("text").isNotNull()).mapInArrow(word_pairs, "before string, word string, n long")
-        .groupBy("before", "word").agg(F.sum("n").alias("n"))
-    )
-    # by pair of words and prefix: how often the prefix is the word itself, how often a longer word begins with it
-    prefix = F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(word, 1, i))"))
-    starts = (
-        counts.select("before", "word", "n", prefix.alias("last"))
-        .groupBy("before", "last")
-        .agg(F.sum(F.when(F.col("word") == F.col("last"), F.col("n")).otherwise(0)).alias("whole"), F.sum(F.when(F.col("word") != F.col("last"), F.col("n")).otherwise(0)).alias("longer"))
-    )
     wanted = doubtful.select("before", "last").distinct()
     asked = wanted.unionByName(wanted.select(F.lit("").alias("before"), "last")).distinct()
+    cells = np.zeros(CELLS, np.uint8)
+    cells[[row["cell"] for row in asked.mapInArrow(asked_cells, "cell int").distinct().collect()]] = 1  # CELLS at most
+    shared = documents.sparkSession.sparkContext.broadcast(cells)
+    starts = (
+        documents.select("text").where(F.col("text").isNotNull())
+        .mapInArrow(prefix_counts(lambda: shared.value), "before string, last string, whole long, longer long")
+        .groupBy("before", "last").agg(F.sum("whole").alias("whole"), F.sum("longer").alias("longer"))
+    )
     found = asked.join(starts, ["before", "last"], "left").na.fill(0, ["whole", "longer"])
     pair = found.withColumnRenamed("whole", "pair_whole").withColumnRenamed("longer", "pair_longer")
     single = found.where(F.col("before") == "").select("last", "whole", "longer")

@@ -12,7 +12,7 @@ DIAGONAL = math.sqrt(2.0)
 
 
 def clamp01(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def unit_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:

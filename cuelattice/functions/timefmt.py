@@ -32,7 +32,7 @@ def ass_time(seconds: Column) -> Column:
 
 def ass_escape(text: Column) -> Column:
     """Braces would open an override block; line ends are written as \\N."""
-    return F.regexp_replace(F.translate(text, "{}", "()"), r"\r\n|\n|\r", r"\\\\N")
+    return F.regexp_replace(F.translate(text, "{}", "()"), r"\r\n|\n|\r", r"\\N")
 
 
 def ass_color(value: str | None) -> str:

@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names, else one of our own."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")).rstrip("/")
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write df to the reliable checkpoint folder and read it back.
 
@@ -34,6 +39,5 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)

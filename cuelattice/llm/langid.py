@@ -23,6 +23,7 @@ from cuelattice.llm.langmodel import BLANK, DENSE, LANGUAGES, STOP, Models, fold
 from cuelattice.llm.plainform import decode, plain_array
 
 MIN_LETTERS, MIN_DENSE = 12, 6
+ADDED = ("seg_no", "lang", "confidence", "n_letters", "n_segments")
 #: Cost in nats of a change of language at a separator, and within a sentence.
 SWITCH_AT_STOP, SWITCH_INSIDE = 7.0, 16.0
 #: A text beyond the limit still gets a language of at least this confidence.
@@ -125,10 +126,7 @@ class Identifier:
             if not short:
                 break
             i = min(short, key=lambda j: (runs[j][2], j))
-            near = [j for j in (i - 1, i + 1) if 0 <= j < len(runs)]
-            j = max(near, key=lambda x: (runs[i][1][runs[x][0]], -x))
-            runs[j][1], runs[j][2] = runs[j][1] + runs[i][1], runs[j][2] + runs[i][2]
-            del runs[i]
+            del runs[i]  # an abbreviation or name says nothing about the language beside it
             i = 1
             while i < len(runs):
                 if runs[i][0] == runs[i - 1][0]:
@@ -137,8 +135,8 @@ class Identifier:
                 else:
                     i += 1
         if len(runs) == 1:
-            total = score.sum(0)
-            return [self._named(total, int(letters.sum()))] if letters.sum() >= LEAST[int(total.argmax())] else []
+            found = self._named(runs[0][1], runs[0][2])
+            return [(*found[:2], int(letters.sum()))] if found and letters.sum() >= LEAST[found[0]] else []
         found = []
         for lang, s, m in runs:
             x = np.exp((s - s.max()) * self.models.temperature)
@@ -168,13 +166,17 @@ def segmenter(load: Callable[[], Models]) -> Callable:
                     total.append(len(found[key]))
             keep = batch.drop_columns(["text"]).take(pa.array(index, pa.int64()))
             more = [pa.array(number, pa.int32()), pa.array(lang, pa.string()), pa.array(confidence, pa.float64()), pa.array(letters, pa.int32()), pa.array(total, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*keep.columns, *more], names=[*keep.schema.names, "seg_no", "lang", "confidence", "n_letters", "n_segments"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, *more], names=[*keep.schema.names, *ADDED])
 
     return run
 
 
 def language_segments(texts: DataFrame, models: Models) -> DataFrame:
-    """texts: columns with one named text; a row for each segment: its other columns, seg_no, lang, confidence, n_letters, n_segments."""
+    """texts: columns with one named text; a row for each segment: its other columns, seg_no, lang, confidence, n_letters, n_segments.
+
+    Columns of texts that are named like the new ones are left out.
+    """
+    texts = texts.select(*[c for c in texts.columns if c not in ADDED])
     shared = texts.sparkSession.sparkContext.broadcast(models)  # bounded by MAX_CODES
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
     return texts.mapInArrow(segmenter(lambda: shared.value), f"{kept}, seg_no int, lang string, confidence double, n_letters int, n_segments int")

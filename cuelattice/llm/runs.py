@@ -83,6 +83,8 @@ def _chunk_rows(video, chunk, numbers, times, texts, region, forms, pattern, thr
 
     for text, gap, start, stop in entries[: cuts[0]]:
         add(OPEN, gap, text, start, stop)
+    if rows and len(cuts) > 1:  # what is open at the first cut ends there
+        rows[-1] = (*rows[-1][:6], TOLERANCE + 1, *rows[-1][7:])
     for low, high in zip(cuts[:-1], cuts[1:]):
         piece = entries[low:high]
         anchored = [GAP] * n
@@ -94,9 +96,10 @@ def _chunk_rows(video, chunk, numbers, times, texts, region, forms, pattern, thr
         for start, stop in runs:
             open_end = high == len(entries) and stop == runs[-1][1] and trailing <= TOLERANCE
             add(OPEN if open_end else FINAL, TOLERANCE + 1, texts[start], start, stop)
-    last = list(rows[-1])
-    last[6] = trailing
-    rows[-1] = tuple(last)
+    if rows[-1][4] == OPEN:
+        rows[-1] = (*rows[-1][:6], trailing, *rows[-1][7:])
+    elif not any(row[4] == OPEN for row in rows):  # the fold sees none of these rows, but has to see that they end what was open
+        rows.append((video, region, chunk, len(rows), SILENT, TOLERANCE + 1, 0, None, None, None, None, None, 0))
     return rows
 
 

@@ -33,6 +33,8 @@ from cuelattice.llm.plainform import plain_array
 from cuelattice.session import cut_lineage
 
 FDR = 0.01
+#: Times the neighbouring hazards that a significant one is at least; bytes of some scripts come in twos and threes.
+LIFT = 4.0
 #: Lengths on either side whose hazards a hazard is tested against.
 NEIGHBOURS = 30
 #: A source is prose if at least this share of its texts has sentence marks.
@@ -83,8 +85,10 @@ def ending_state(text: str, form: str | None) -> tuple[int, bool]:
             parts = last.split(",", 9)
             return (OPEN, True) if len(parts) < 10 or not parts[9].strip() else (prose_state(parts[9]), True)
         return prose_state(last), True
+    if text.endswith("#"):
+        return OPEN, True
     if TAGS.search(text):
-        return (OPEN if text.endswith("#") else WORD), True
+        return WORD, True
     marked = bool(SENTENCE.search(text))
     return prose_state(text), marked
 
@@ -188,7 +192,7 @@ def length_hazards(ends: DataFrame) -> DataFrame:
     by_p = W.partitionBy("source", "measure").orderBy("p", "length")
     ranked = tested.withColumn("r", F.row_number().over(by_p)).withColumn("m", F.count("*").over(W.partitionBy("source", "measure")))
     passed = F.max(F.when(F.col("p") <= F.col("r") * F.lit(FDR) / F.col("m"), F.col("r"))).over(W.partitionBy("source", "measure"))
-    return ranked.withColumn("significant", F.coalesce(F.col("r") <= passed, F.lit(False)) & (F.col("n") > 2)).drop("r", "m")
+    return ranked.withColumn("significant", F.coalesce(F.col("r") <= passed, F.lit(False)) & (F.col("n") > 2) & (F.col("hazard") >= LIFT * F.col("neighbours"))).drop("r", "m")
 
 
 def text_endings(documents: DataFrame) -> DataFrame:

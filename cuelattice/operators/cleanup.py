@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cuelattice.functions.keys import canonical_key
 from cuelattice.functions.text import clean_text
 from cuelattice.operators.compose import round3
+from cuelattice.operators.ordinals import numbered, time_bucket
 
 
 def clip(start: Column, end: Column, duration: Column) -> tuple[Column, Column]:
@@ -67,5 +68,4 @@ def merge_events(screen: DataFrame, audio: DataFrame) -> DataFrame:
     """Both streams with the number of each event in its video: by time, screen text before speech."""
     both = screen.unionByName(audio)
     rank = F.when(F.col("source") == "audio", 1).otherwise(0)
-    order = W.partitionBy("video_id").orderBy("start_s", "end_s", rank, "source_lines", "translated_lines")
-    return both.withColumn("event_no", F.row_number().over(order))
+    return numbered(both, "event_no", "video_id", time_bucket("start_s"), ["start_s", "end_s", rank, "source_lines", "translated_lines"])

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelattice.config import Settings
 from cuelattice.functions.timefmt import ALIGNMENT, WHITE, ass_color, ass_escape, ass_time, scaled, srt_time
+from cuelattice.operators.ordinals import numbered, time_bucket
 
 # The sections of the ASS format.
 INFO = "[Script Info]\nTitle: subtitles\nScriptType: v4.00+\nWrapStyle: 0\nScaledBorderAndShadow: yes\nYCbCr Matrix: None\n"
@@ -37,11 +37,9 @@ def shown_events(events: DataFrame, bilingual: bool = False) -> DataFrame:
 
 def srt_blocks(events: DataFrame, bilingual: bool = False) -> DataFrame:
     """video_id, n, block: numbered blocks, counted over those that show something."""
-    shown = shown_events(events, bilingual)
-    n = F.row_number().over(W.partitionBy("video_id").orderBy(*ORDER))
-    numbered = shown.withColumn("n", n)
+    rows = numbered(shown_events(events, bilingual), "n", "video_id", time_bucket("start_s"), ORDER)
     block = F.concat(F.col("n").cast("string"), F.lit("\n"), srt_time(F.col("start_s")), F.lit(" --> "), srt_time(F.col("end_s")), F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n"))
-    return numbered.select("video_id", "n", block.alias("block"))
+    return rows.select("video_id", "n", block.alias("block"))
 
 
 def srt_documents(events: DataFrame, bilingual: bool = False) -> DataFrame:
@@ -60,7 +58,7 @@ def chunked(lines: Column, size: int) -> Column:
 
 def ass_dialogues(events: DataFrame, bilingual: bool = False, max_lines: int = 2) -> DataFrame:
     """video_id, n, part, dialogue: an event of more than max_lines lines as several at the same time."""
-    shown = shown_events(events, bilingual).withColumn("n", F.row_number().over(W.partitionBy("video_id").orderBy(*ORDER)))
+    shown = numbered(shown_events(events, bilingual), "n", "video_id", time_bucket("start_s"), ORDER)
     parts = shown.select("*", F.posexplode(chunked(F.col("lines"), max_lines)).alias("part", "group"))
     style = F.when(F.col("source") == "audio", "Audio").otherwise("Default")
     text = F.concat(

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelattice.functions.parse import fraction, quarter_turns, sample_count
+from cuelattice.operators.ordinals import numbered
 
 
 def sample_grid(videos: DataFrame, interval: float | None = None) -> DataFrame:
@@ -19,8 +19,9 @@ def sample_grid(videos: DataFrame, interval: float | None = None) -> DataFrame:
 
 
 def number_frames(frames: DataFrame) -> DataFrame:
-    """frames: video_id, path -> sample_index by path."""
-    return frames.withColumn("sample_index", F.row_number().over(W.partitionBy("video_id").orderBy("path")))
+    """frames: video_id, path -> sample_index by path; a video's frames are files of one folder."""
+    bucket = F.regexp_extract("path", r"^(?:.*/)?.{0,5}", 0)
+    return numbered(frames, "sample_index", "video_id", bucket, ["path"])
 
 
 def display_size(width: Column, height: Column, rotation: Column) -> tuple[Column, Column]:

@@ -24,6 +24,7 @@ from cuelattice.config import Settings
 from cuelattice.functions.geometry import same_region
 from cuelattice.functions.similarity import display_text, match_text, matched_ratio
 from cuelattice.functions.text import tidy_display
+from cuelattice.operators.ordinals import numbered, time_bucket
 from cuelattice.operators.samples import counting_rows, region_of
 from cuelattice.schemas import BOX
 
@@ -204,8 +205,8 @@ def track_events(samples: DataFrame, videos: DataFrame, settings: Settings = Set
 
 def numbered_events(events: DataFrame) -> DataFrame:
     """Events with their number in the video, by start, then top to bottom, then left to right."""
-    order = W.partitionBy("video_id").orderBy("start_s", "bbox.y0", "bbox.x0", "end_s", "source_text", "close_seq")
-    return events.withColumn("event_no", F.row_number().over(order)).drop("close_seq")
+    order = ["start_s", "bbox.y0", "bbox.x0", "end_s", "source_text", "close_seq"]
+    return numbered(events, "event_no", "video_id", time_bucket("start_s"), order).drop("close_seq")
 
 
 def region_islands(samples: DataFrame, videos: DataFrame, tolerance: int = 1, min_duration: float = 0.0, text: Column | None = None) -> DataFrame:
@@ -217,18 +218,20 @@ def region_islands(samples: DataFrame, videos: DataFrame, tolerance: int = 1, mi
     shown = F.transform("blocks", lambda b: F.struct(region_of(b["bbox"]).alias("region"), (tidy_display(b["source_text"]) if text is None else text).alias("text"), b["confidence"].alias("confidence")))
     slim = samples.select("video_id", "sample_index", "ingested_at", "status", "timestamp_s", shown.alias("blocks"))
     ok = counting_rows(slim, ["status", "timestamp_s", "blocks"]).where(F.col("status") != "failed")
-    ok = ok.withColumn("ok_ord", F.row_number().over(W.partitionBy("video_id").orderBy("sample_index")))
-    seen = ok.select("video_id", "sample_index", "timestamp_s", "ok_ord", F.explode("blocks").alias("b")).select("video_id", "sample_index", "timestamp_s", "ok_ord", "b.*")
+    # an event never reaches beyond a stretch, so windows run within stretches, not over a whole video
+    busy = F.exists(F.coalesce("blocks", F.array().cast(slim.schema["blocks"].dataType)), lambda b: (F.coalesce(b["text"], F.lit("")) != "") & b["region"].isNotNull())
+    found = quiescent_stretches(ok.withColumn("busy", busy), tolerance)
+    seen = found.select("video_id", "stretch", "sample_index", "timestamp_s", "ok_ord", F.explode("blocks").alias("b")).select("video_id", "stretch", "sample_index", "timestamp_s", "ok_ord", "b.*")
     seen = seen.where((F.col("text") != "") & F.col("region").isNotNull())
-    by = W.partitionBy("video_id", "region").orderBy("ok_ord")
+    by = W.partitionBy("video_id", "stretch", "region").orderBy("ok_ord")
     gap = F.col("ok_ord") - F.lag("ok_ord").over(by) - 1
     new = F.lag("text").over(by).isNull() | (F.col("text") != F.lag("text").over(by)) | (gap > tolerance)
     marked = seen.withColumn("island", F.sum(F.when(new, 1).otherwise(0)).over(by))
-    islands = marked.groupBy("video_id", "region", "island").agg(
+    islands = marked.groupBy("video_id", "stretch", "region", "island").agg(
         F.min("timestamp_s").alias("start"), F.max("timestamp_s").alias("last"), F.min_by("text", "ok_ord").alias("text"), F.min("ok_ord").alias("first_ord"), F.max("ok_ord").alias("last_ord"),
         F.max("confidence").alias("confidence"), F.count("*").alias("observation_count"), F.min("sample_index").alias("first_sample"), F.max("sample_index").alias("last_sample"),
     )
-    then = W.partitionBy("video_id", "region").orderBy("island")
+    then = W.partitionBy("video_id", "stretch", "region").orderBy("island")
     changed = F.lead("first_ord").over(then) - F.col("last_ord") - 1 <= tolerance
     facts = videos.groupBy("video_id").agg(F.max("sample_interval").alias("interval"), F.max("duration").alias("duration"))
     ended = islands.withColumn("next_start", F.when(changed, F.lead("start").over(then))).join(facts, "video_id", "left")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,13 @@ EVENT = (
 )
 
 
+@lru_cache(maxsize=8192)
+def shown_forms(text: str | None) -> tuple[str, str]:
+    """Display and matching form; screens repeat their texts."""
+    shown = display_text(text)
+    return shown, match_text(shown)
+
+
 @dataclass
 class Open:
     """An event that may still be extended: first text and label, latest box and time."""
@@ -66,10 +74,10 @@ class Tracker:
         for event in self.open:
             event.fresh = False
         for block in blocks:
-            text = display_text(block.get("source_text"))
+            text, form = shown_forms(block.get("source_text"))
             box = tuple(block["bbox"][k] for k in ("x0", "y0", "x1", "y1")) if block.get("bbox") else None
             if text and box is not None and None not in box:
-                self._place(index, time, text, box, block)
+                self._place(index, time, text, form, box, block)
         kept = []
         for event in self.open:
             event.missed = 0 if event.fresh else event.missed + 1
@@ -79,8 +87,8 @@ class Tracker:
                 kept.append(event)
         self.open = kept
 
-    def _place(self, index: int, time: float, text: str, box: tuple, block: dict) -> None:
-        form, s = match_text(text), self.settings
+    def _place(self, index: int, time: float, text: str, form: str, box: tuple, block: dict) -> None:
+        s = self.settings
         near = [e for e in self.open if not e.fresh and same_region(box, e.box, s.iou_threshold, s.center_dist_ratio)]
         best, ratio = None, -1.0
         for event in near:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelattice.session import cut_lineage
+from cuelattice.session import cut_lineage, spread
 
 #: A public tokenizer's ranks, and the pattern that splits text before its merges.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -58,7 +58,7 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
 
 def sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, source, n_tokens of every document; a repeated doc_id counts once, a null one not at all."""
-    sized = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("source", token_count(F.col("text"), path).alias("n_tokens")).alias("d"))
+    sized = spread(documents.select("doc_id", "source", "text").where(F.col("doc_id").isNotNull())).select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("source", token_count(F.col("text"), path).alias("n_tokens")).alias("d"))
     return sized.groupBy("doc_id").agg(F.max("d").alias("d")).select("doc_id", "d.source", "d.n_tokens")
 
 

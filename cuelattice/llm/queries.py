@@ -15,7 +15,7 @@ from cuelattice.llm.plainform import plain_form
 from cuelattice.llm.runs import text_runs
 from cuelattice.llm.truncation import cut_rates, length_hazards, text_endings, truncated
 from cuelattice.operators.samples import block_key, counting_blocks
-from cuelattice.session import table
+from cuelattice.session import spread, table
 
 
 def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = labelled_sample(table(spark, sf_dir, "documents"))
-    cues = cue_pairs(table(spark, sf_dir, "cues"), table(spark, sf_dir, "videos"))
-    pairs = cues.unionByName(cache_pairs(table(spark, sf_dir, "llm_cache")))
+    cues = cue_pairs(spread(table(spark, sf_dir, "cues").select("cue_id", "video_id", "source_lines", "translated_lines")), table(spark, sf_dir, "videos"))
+    pairs = cues.unionByName(cache_pairs(spread(table(spark, sf_dir, "llm_cache").select("cache_key", "request", "response"))))
     return defective_pairs(pairs, fit(sample), WordBook(sample)).distinct()
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuelattice.llm.plainform import plain_array
-from cuelattice.session import cut_lineage
+from cuelattice.session import cut_lineage, spread
 
 FDR = 0.01
 #: Times the neighbouring hazards that a significant one is at least; bytes of some scripts come in twos and threes.
@@ -196,7 +196,7 @@ def length_hazards(ends: DataFrame) -> DataFrame:
 
 
 def text_endings(documents: DataFrame) -> DataFrame:
-    columns = documents.select("doc_id", "source", "doc_format", "text").where(F.col("text").isNotNull())
+    columns = spread(documents.select("doc_id", "source", "doc_format", "text").where(F.col("text").isNotNull()))
     return columns.mapInArrow(endings, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, n_chars long, n_bytes long, state int, marked boolean, before string, last string")
 
 
@@ -221,7 +221,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     cells[[row["cell"] for row in asked.mapInArrow(asked_cells, "cell int").distinct().collect()]] = 1  # CELLS at most
     shared = documents.sparkSession.sparkContext.broadcast(cells)
     starts = (
-        documents.select("text").where(F.col("text").isNotNull())
+        spread(documents.select("text").where(F.col("text").isNotNull()))
         .mapInArrow(prefix_counts(lambda: shared.value), "before string, last string, whole long, longer long")
         .groupBy("before", "last").agg(F.sum("whole").alias("whole"), F.sum("longer").alias("longer"))
     )

@@ -65,12 +65,13 @@ def blocks(spark: SparkSession, d: str, *fields: str) -> DataFrame:
     return samples.counting_blocks(table(spark, d, "ocr_results"), *fields)
 
 
-def tracks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tracks").distinct()
+def tracks(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    """Tracks without repeated rows; reads the named columns only, which the key keeps apart as whole rows would."""
+    return table(spark, d, "tracks").select("track_id", *keep).distinct()
 
 
-def cues(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "cues").distinct()
+def cues(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return table(spark, d, "cues").select("cue_id", *keep).distinct()
 
 
 # ---- samples and probes ----
@@ -295,7 +296,7 @@ def _compose_sql(k1: str, k2: str) -> str:
 
 
 def _composed(spark, d, order: str) -> DataFrame:
-    made = compose.compose_cues(tracks(spark, d), order, ["track_id"])
+    made = compose.compose_cues(tracks(spark, d, "video_id", "start_s", "end_s", "source_text", "bbox", "reading_order"), order, ["track_id"])
     return made.select("video_id", ms(F.col("start_s")).alias("start_ms"), ms(F.col("end_s")).alias("end_ms"), F.array_join("source_texts", "\n", "<null>").alias("lines"), F.size("source_texts").cast("bigint").alias("n_lines"))
 
 
@@ -316,26 +317,26 @@ def compose_cues_ttb(spark, d):
 
 @query(f"SELECT {KEY % 'source_lines'} AS canonical_key, CAST(count(*) AS BIGINT) AS n FROM {CUES} GROUP BY 1")
 def canonical_keys(spark, d):
-    return cues(spark, d).groupBy(keys.canonical_key(F.col("source_lines")).alias("canonical_key")).agg(F.count("*").alias("n"))
+    return cues(spark, d, "source_lines").groupBy(keys.canonical_key(F.col("source_lines")).alias("canonical_key")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT DISTINCT k AS canonical_key FROM (SELECT {KEY % "source_lines"} AS k FROM {CUES} WHERE coalesce(source, 'ocr') = 'ocr'
   UNION ALL SELECT {KEY % f"[{CLEAN % 'l'}]"} FROM (SELECT unnest(source_lines) AS l FROM {CUES} WHERE source = 'audio') WHERE {CLEAN % 'l'} <> '')""")
 def distinct_cues(spark, d):
-    every = cues(spark, d)
+    every = cues(spark, d, "source_lines", "source")
     screen = every.where(F.coalesce("source", F.lit("ocr")) == "ocr").select(F.col("source_lines").alias("source_texts"))
     return translate.distinct_cues(screen, every.where("source = 'audio'").select(F.explode("source_lines").alias("text")))
 
 
 @query(f"SELECT cue_id, CAST(i AS BIGINT) AS line_no, {CLEAN % 'source_lines[i]'} AS clean, {TIDY % 'source_lines[i]'} AS tidy FROM (SELECT *, unnest(range(1, len(source_lines) + 1)) AS i FROM {CUES})")
 def clean_lines(spark, d):
-    rows = cues(spark, d).select("cue_id", F.posexplode("source_lines").alias("i", "t"))
+    rows = cues(spark, d, "source_lines").select("cue_id", F.posexplode("source_lines").alias("i", "t"))
     return rows.select("cue_id", (F.col("i") + 1).cast("bigint").alias("line_no"), text.clean_text(F.col("t")).alias("clean"), text.tidy_display(F.col("t")).alias("tidy"))
 
 
 @query()
 def display_and_match_text(spark, d):
-    lines = cues(spark, d).select(F.explode("source_lines").alias("t")).distinct()
+    lines = table(spark, d, "cues").select(F.explode("source_lines").alias("t")).distinct()
     return lines.select("t", text.display_text(F.col("t")).alias("display"), text.match_text(F.col("t")).alias("match"))
 
 
@@ -344,13 +345,13 @@ SHOWN = "list_transform(range(1, len(translated_lines) + 1), lambda i: coalesce(
 
 @query(f"SELECT cue_id, array_to_string({SHOWN}, chr(10)) AS shown, array_to_string(list_concat({SHOWN}, source_lines), chr(10)) AS bilingual FROM {CUES} WHERE len(translated_lines) > 0")
 def display_lines(spark, d):
-    rows = cues(spark, d).where(F.size("translated_lines") > 0)
+    rows = cues(spark, d, "source_lines", "translated_lines").where(F.size("translated_lines") > 0)
     return rows.select("cue_id", *[F.array_join(emit.display_lines(F.col("translated_lines"), F.col("source_lines"), b), "\n").alias(n) for n, b in (("shown", False), ("bilingual", True))])
 
 
 def translations(spark: SparkSession, d: str) -> DataFrame:
     """The first translation of each key that the final cues have."""
-    rows = cues(spark, d).select("cue_id", "translated_lines", keys.canonical_key(F.col("source_lines")).alias("canonical_key"))
+    rows = cues(spark, d, "source_lines", "translated_lines").select("cue_id", "translated_lines", keys.canonical_key(F.col("source_lines")).alias("canonical_key"))
     return rows.groupBy("canonical_key").agg(F.min_by("translated_lines", "cue_id").alias("translated_lines"))
 
 
@@ -370,12 +371,12 @@ SPOKEN = f"""(SELECT video_id, start_ms, end_ms, txt, line, row_number() OVER (P
 
 
 def final_screen(spark: SparkSession, d: str) -> DataFrame:
-    rows = cues(spark, d).where(F.coalesce("source", F.lit("ocr")) == "ocr").withColumnRenamed("source_lines", "source_texts")
+    rows = cues(spark, d, "video_id", "start_s", "end_s", "source_lines", "bboxes", "source").where(F.coalesce("source", F.lit("ocr")) == "ocr").withColumnRenamed("source_lines", "source_texts")
     return cleanup.finalize_cues(rows.select("cue_id", "video_id", "start_s", "end_s", "source_texts", "bboxes"), translations(spark, d), table(spark, d, "videos"), ["cue_id"])
 
 
 def final_audio(spark: SparkSession, d: str) -> DataFrame:
-    rows = cues(spark, d).where("source = 'audio'").select("cue_id", "video_id", "start_s", "end_s", F.array_join("source_lines", " ").alias("text"))
+    rows = cues(spark, d, "video_id", "start_s", "end_s", "source_lines", "source").where("source = 'audio'").select("cue_id", "video_id", "start_s", "end_s", F.array_join("source_lines", " ").alias("text"))
     return cleanup.finalize_audio(rows, translations(spark, d), table(spark, d, "videos"), ["cue_id"])
 
 
@@ -417,7 +418,7 @@ CS = "CAST(round_even(%s * 100, 0) AS BIGINT)"
 
 @query(f"SELECT track_id, {SRT.format(MS % 'greatest(start_s, 0.0)')} AS srt, {ASS.format(CS % 'greatest(start_s, 0.0)')} AS ass FROM {TRACKS} WHERE start_s IS NOT NULL")
 def time_codes(spark, d):
-    rows = tracks(spark, d).where(F.col("start_s").isNotNull())
+    rows = tracks(spark, d, "start_s").where(F.col("start_s").isNotNull())
     return rows.select("track_id", timefmt.srt_time(F.col("start_s")).alias("srt"), timefmt.ass_time(F.col("start_s")).alias("ass"))
 
 
@@ -496,7 +497,7 @@ MEMO = "(SELECT json_extract_string(request, '$.messages[1].content') AS cache_k
 
 @query(f"SELECT c.cue_id, m.cache_key IS NOT NULL AS hit FROM (SELECT cue_id, {KEY % 'source_lines'} AS k FROM {CUES}) c LEFT JOIN {MEMO} m ON m.cache_key = c.k")
 def cache_lookup(spark, d):
-    rows = cues(spark, d).select("cue_id", keys.canonical_key(F.col("source_lines")).alias("cache_key"))
+    rows = cues(spark, d, "source_lines").select("cue_id", keys.canonical_key(F.col("source_lines")).alias("cache_key"))
     return dedupe.look_up(rows, memo(spark, d)).select("cue_id", "hit")
 
 
@@ -508,14 +509,14 @@ def hit_ratio(spark, d):
 
 @query(f"SELECT m.cache_key, CAST(count(c.k) AS BIGINT) AS hit_count FROM {MEMO} m LEFT JOIN (SELECT {KEY % 'source_lines'} AS k FROM {CUES}) c ON c.k = m.cache_key GROUP BY 1")
 def cache_hit_counts(spark, d):
-    rows = cues(spark, d).select(keys.canonical_key(F.col("source_lines")).alias("cache_key"))
+    rows = cues(spark, d, "source_lines").select(keys.canonical_key(F.col("source_lines")).alias("cache_key"))
     return dedupe.count_hits(memo(spark, d), dedupe.look_up(rows, memo(spark, d).select("cache_key"))).select("cache_key", "hit_count")
 
 
 @query(f"""SELECT cache_key, epoch_us(arg_max(created_at, (fresh, created_at))) AS created_us, CAST(max(fresh) AS BIGINT) AS is_new FROM (
   SELECT cache_key, created_at, 0 AS fresh FROM {MEMO} UNION ALL SELECT {KEY % 'source_lines'}, max(written_at), 1 FROM {CUES} GROUP BY 1) GROUP BY 1""")
 def cache_upsert(spark, d):
-    new = cues(spark, d).groupBy(keys.canonical_key(F.col("source_lines")).alias("cache_key")).agg(F.max("written_at").alias("created_at")).withColumn("normalized", F.lit("new"))
+    new = cues(spark, d, "source_lines", "written_at").groupBy(keys.canonical_key(F.col("source_lines")).alias("cache_key")).agg(F.max("written_at").alias("created_at")).withColumn("normalized", F.lit("new"))
     after = dedupe.upsert(memo(spark, d), new)
     return after.select("cache_key", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"), (F.coalesce("normalized", F.lit("")) == "new").cast("bigint").alias("is_new"))
 
@@ -554,7 +555,7 @@ def echo_chat():
 
 @query(f"""SELECT {KEY % 'source_lines'} AS canonical_key, any_value(array_to_string(list_transform(source_lines, lambda x: '[' || x || ']'), chr(10))) AS lines FROM {CUES} GROUP BY 1""")
 def memo_translate(spark, d):
-    wanted = cues(spark, d).select(keys.canonical_key(F.col("source_lines")).alias("canonical_key"))
+    wanted = cues(spark, d, "source_lines").select(keys.canonical_key(F.col("source_lines")).alias("canonical_key"))
     empty = spark.createDataFrame([], translate.TRANSLATION)
     _, new = dedupe.memo_map(wanted, "canonical_key", empty, lambda missing: translate.translate_keys(missing, echo_chat, None, "xx"))
     return new.select("canonical_key", F.array_join("translated_lines", "\n").alias("lines"))

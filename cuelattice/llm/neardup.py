@@ -31,7 +31,7 @@ THRESHOLD = 0.6
 MIN_LENGTH = 80
 WIDTH = 3
 #: Cells of the count sketch; it is the same size for any collection.
-SKETCH = 1 << 18
+SKETCH = 1 << 20
 #: 64-bit words of a set's parity bitmap.
 BITMAP = 8
 HOT = 20_000
@@ -88,10 +88,9 @@ def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_sketch(texts: DataFrame) -> np.ndarray:
     """How many sets hold a sequence of each cell; SKETCH numbers, however many texts."""
-    rows = texts.select("text").mapInArrow(count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    sketch = np.zeros(SKETCH, np.int64)
-    for row in rows:
-        sketch[row["cell"]] = row["n"]
+    rows = texts.select("text").mapInArrow(count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(SKETCH, np.uint32)
+    sketch[rows.column("cell").to_numpy()] = np.minimum(rows.column("n").to_numpy(), np.iinfo(np.uint32).max)
     return sketch
 
 
@@ -104,28 +103,37 @@ def postings(load: Callable[[], np.ndarray], buckets: int, threshold: float, hot
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = load()
         for batch in batches:
-            out: list[list] = [[] for _ in range(10)]
-            for class_id, text in zip(batch.column("class_id").to_pylist(), batch.column("text").to_pylist()):
+            ids = batch.column("class_id")
+            per_set: list[tuple] = []  # size, family, bits, own number
+            row, token, at, held = [], [], [], []
+            for k, (class_id, text) in enumerate(zip(ids.to_pylist(), batch.column("text").to_pylist())):
                 tokens = sequences(text)
                 hashed = mix(tokens)
-                held = sketch[(hashed & np.uint64(SKETCH - 1)).astype(np.int64)]
-                order = np.lexsort((hashed, held))
+                count = sketch[(hashed & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
+                order = np.lexsort((hashed, count))
                 size = len(tokens)
-                length = size - int(np.ceil(threshold * size - 1e-9)) + 1
-                first = order[:length]
-                bits = parity_bitmap(tokens).tobytes()
+                first = order[: size - int(np.ceil(threshold * size - 1e-9)) + 1]
                 family = int(np.bitwise_xor.reduce(hashed[order[:3]]).view(np.int64))
-                own = int(class_id[:8], 16)
-                for at, k in enumerate(first.tolist()):
-                    token = int(hashed[k].view(np.int64))
-                    parts = -(-int(held[k]) // hot)
-                    mine = own % parts if parts > 1 else 0
-                    for other in range(max(1, parts)):
-                        row = (token % buckets, min(mine, other), max(mine, other), mine, token, class_id, size, at, family, bits)
-                        for column, value in zip(out, row):
-                            column.append(value)
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in POSTING.split(", ")])
+                per_set.append((size, family, parity_bitmap(tokens).tobytes(), int(class_id[:8], 16)))
+                row.append(np.full(len(first), k))
+                token.append(hashed[first].view(np.int64))
+                at.append(np.arange(len(first)))
+                held.append(count[first])
+            if not row:
+                continue
+            row, token, at, held = (np.concatenate(x) for x in (row, token, at, held))
+            parts = np.maximum(1, -(-held // hot))
+            # a hot sequence is written once for each part that the set's own part has to meet
+            wide = np.repeat(np.arange(len(row)), parts)
+            other = np.arange(len(wide)) - np.repeat(np.cumsum(parts) - parts, parts)
+            mine = np.array([x[3] for x in per_set], np.int64)[row[wide]] % parts[wide]
+            of = pa.array(row[wide])
+            columns = [
+                pa.array((token[wide] % buckets).astype(np.int32)), pa.array(np.minimum(mine, other).astype(np.int32)), pa.array(np.maximum(mine, other).astype(np.int32)), pa.array(mine.astype(np.int32)),
+                pa.array(token[wide]), ids.take(of), pa.array([x[0] for x in per_set], pa.int32()).take(of), pa.array(at[wide].astype(np.int32)),
+                pa.array([x[1] for x in per_set], pa.int64()).take(of), pa.array([x[2] for x in per_set], pa.binary()).take(of),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in POSTING.split(", ")])
 
     return run
 

@@ -218,7 +218,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     wanted = doubtful.select("before", "last").distinct()
     asked = wanted.unionByName(wanted.select(F.lit("").alias("before"), "last")).distinct()
     cells = np.zeros(CELLS, np.uint8)
-    cells[[row["cell"] for row in asked.mapInArrow(asked_cells, "cell int").distinct().collect()]] = 1  # CELLS at most
+    cells[asked.mapInArrow(asked_cells, "cell int").distinct().toArrow().column("cell").to_numpy()] = 1  # CELLS rows at most
     shared = documents.sparkSession.sparkContext.broadcast(cells)
     starts = (
         spread(documents.select("text").where(F.col("text").isNotNull()))

@@ -29,10 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A scan before a costly function: over all cores where its files make fewer partitions than that.
 
-    Only tables of few files are moved; a large one keeps the partitions it is read in.
+    Only tables of few files are moved; a large one keeps the partitions it is read in, and what
+    comes out of a shuffle those of the shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -113,7 +113,7 @@ def tables() -> dict:
                     firsts.append(parts[0])
                     seconds.append(parts[1])
                     composed.append(cp)
-        if category == "So" or cp in (0x23, 0x2A, 0xA9, 0xAE) or 0x30 <= cp <= 0x39 or 0x2190 <= cp <= 0x2BFF or cp >= 0x1F000:
+        if category == "So" or cp in (0xA9, 0xAE) or 0x2190 <= cp <= 0x2BFF or cp >= 0x1F000:
             emoji[cp] = True
     for low, high in COMPATIBILITY_SPANS:
         for cp in range(low, high + 1):
@@ -122,6 +122,8 @@ def tables() -> dict:
                 put(cp, plain)
     for radical, han in RADICALS.items():
         put(ord(radical), han)
+    keycap = emoji.copy()
+    keycap[[0x23, 0x2A, *range(0x30, 0x3A)]] = True
     selector[0xFE00:0xFE10] = selector[0xE0100:0xE01F0] = True
     for cp in [*dropped, 0x034F, *np.flatnonzero(selector).tolist()]:
         offset[cp], length[cp] = 0, 0
@@ -142,7 +144,7 @@ def tables() -> dict:
     nfc_stable[composed] = True
     return {
         "flat": np.array(flat or [0], np.uint32), "length": length, "offset": offset, "ccc": ccc, "letter": letter,
-        "script": script, "emoji": emoji, "selector": selector, "pair": keys[order],
+        "script": script, "emoji": emoji, "keycap": keycap, "selector": selector, "pair": keys[order],
         "composed": np.array(composed, np.uint32)[order], "to": to, "alien": alien, "touched": touched & ~nfc_stable,
     }
 
@@ -189,7 +191,7 @@ def _expand(cps: np.ndarray, rows: np.ndarray, t: dict) -> tuple[np.ndarray, np.
     solid = np.maximum.accumulate(np.where(~tone | first, position, 0))
     before, after = np.roll(solid, 1), np.roll(position, -1)
     kept = joint & ~first & ~last & emoji[before] & emoji[after]
-    kept |= t["selector"][cps] & ~first & emoji[np.roll(position, 1)]
+    kept |= t["selector"][cps] & ~first & t["keycap"][cps][np.roll(position, 1)]
     carriage = (cps == 0x0D) & ~last & (np.roll(cps, -1) == 0x0A)
     length[kept], length[carriage] = 1, 0
     source = np.repeat(position, length)
@@ -302,14 +304,22 @@ def _own_script(cps: np.ndarray, rows: np.ndarray, n_rows: int, t: dict) -> np.n
     own = np.where(proof.max(0) > 0, proof.argmax(0) + 1, 0)
     heads = inside[start[inside]]
     stop = np.isin(sub, STOPS)
-    stop[1:] |= sub_rows[1:] != sub_rows[:-1]
-    stretch = np.cumsum(stop)[heads]
+    first = np.ones(len(sub), bool)
+    first[1:] = sub_rows[1:] != sub_rows[:-1]
+    stretch = np.cumsum(stop | first)[heads]
     before, after = _nearest(own > 0, stretch, own)
     row_proof = np.stack([np.bincount(sub_rows[plain == s], minlength=n_rows) for s in (LATIN, CYRILLIC, GREEK)])
     row_own = np.where(row_proof.max(0) > 0, row_proof.argmax(0) + 1, 0)[sub_rows[heads]]
     kinds = np.stack(total) > 0
     single = np.where(kinds.sum(0) == 1, kinds.argmax(0) + 1, 0)
     keeps = (single > 0) & ~alien & ((single == before) | (single == after) | ((before == 0) & (after == 0) & (row_own == 0)))
+    # single letters are labels ("p. 12", "rev. B") where a full stop follows or joins them to a word of their script
+    lone = (np.bincount(w, minlength=words) == 1) & (single > 0) & ~alien
+    dot = sub == 0x2E
+    joined = np.cumsum((stop & ~dot) | first)[heads]
+    wide_before, wide_after = _nearest(own > 0, joined, own)
+    dotted = np.append(dot[1:] & (sub_rows[1:] == sub_rows[:-1]), False)[heads]
+    keeps |= lone & (dotted | (single == wide_before) | (single == wide_after))
     near = np.where(before > 0, before, np.where(after > 0, after, row_own))
     near = np.where((near == CYRILLIC) & alien, LATIN, near)
     own = np.where(own > 0, own, np.where(keeps, single, np.where(near > 0, near, LATIN)))

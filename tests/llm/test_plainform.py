@@ -12,9 +12,9 @@ from cuelattice.llm.plainform import plain_array, plain_form, plain_list
 PAIRS = {
     "Ａ　medianoche": "A medianoche", "ｱﾊﾞｶﾞﾊﾟ": "アバガパ", "été": "été", "각x": "각x", "pian‍o": "piano", "so­ft﻿": "soft",
     "ﬁne": "fine", "⼀⻑": "一長", "Тһе cook": "The cook", "Мoлодая лётчица": "Молодая лётчица", "El prestadο": "El prestado", "a\r\nb\rc": "a\nb\nc", "a b\tc": "a b c",
-    "Bop крадёт": "Вор крадёт", "Нow а day": "How a day", "が": "が", "x️": "x",
+    "Bop крадёт": "Вор крадёт", "Нow а day": "How a day", "が": "が", "x️": "x", "2‍0:1‍8": "20:18",
 }
-KEPT = ["👩‍💻 ⚠️", "①½²！", "The cook | Пекарь несёт а", "Художница крадёт ключ. La peintre vole", "TV стоит", "Ελλάδα", "", "1️⃣", "плащ"]
+KEPT = ["👩‍💻 ⚠️", "①½²！", "The cook | Пекарь несёт а", "Художница крадёт ключ. La peintre vole", "TV стоит", "Ελλάδα", "", "1️⃣", "плащ", "ключ в городе. p. 12 Жизкев", "На рассвете (rev. B) Галка", "Ё. С.довница"]
 
 
 def test_golden_texts():

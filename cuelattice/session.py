@@ -1,8 +1,9 @@
-"""Session factory, table access and lineage cutting."""
+"""Session factory, table access and cuts of lineage."""
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,13 +45,14 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")).rstrip("/")
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write df to the reliable checkpoint folder and read it back.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to a table in the shared folder and read it back.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; a folder of our own is set
-    only where that is unset (tests on one machine).
+    Unlike an eager checkpoint this computes df once. The table goes when the driver ends.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

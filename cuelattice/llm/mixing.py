@@ -62,18 +62,22 @@ def sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return sized.groupBy("doc_id").agg(F.max("d").alias("d")).select("doc_id", "d.source", "d.n_tokens")
 
 
-def quotas(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target: n_docs, tokens, feasible_share (of those with documents), copies (mean number a document is used)."""
+def wanted(targets: DataFrame) -> DataFrame:
+    """A row a target: source, target_share, max_repeats."""
+    share = F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))
+    return targets.groupBy("source").agg(F.max(share).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+
+
+def quotas(sized: DataFrame, targets: DataFrame) -> list[dict]:
+    """Per target: n_docs, tokens, and copies, the mean number of times a document is used; targets are few."""
     have = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
-    want = targets.groupBy("source").agg(F.max(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
-    both = want.join(have, "source", "left").na.fill(0, ["n_docs", "tokens"])
-    usable = (F.col("tokens") > 0) & (F.col("target_share") > 0)
-    total = both.where(usable).agg(F.sum("target_share").alias("all_shares"))
-    both = both.crossJoin(total).withColumn("feasible_share", F.when(usable, F.col("target_share") / F.col("all_shares")).otherwise(0.0))
-    limit = both.where(usable).agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("feasible_share")).alias("budget"))
-    both = both.crossJoin(limit)  # one row on either side
-    copies = F.when(usable, F.least(F.col("feasible_share") * F.col("budget") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    return both.select("source", "target_share", "max_repeats", "n_docs", "tokens", "feasible_share", "budget", copies.alias("copies"))
+    rows = [r.asDict() for r in wanted(targets).join(have, "source", "left").na.fill(0, ["n_docs", "tokens"]).collect()]
+    usable = [r for r in rows if r["tokens"] > 0 and r["target_share"] > 0]
+    total = sum(r["target_share"] for r in usable)
+    budget = min((r["max_repeats"] * r["tokens"] * total / r["target_share"] for r in usable), default=0.0)
+    for r in rows:
+        r["copies"] = min(r["target_share"] / total * budget / r["tokens"], float(r["max_repeats"])) if r in usable else 0.0
+    return rows
 
 
 def draw(*key: object) -> float:
@@ -138,7 +142,7 @@ def round_node(level: int, last: bool):
 def copies(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """Every document of a targeted source: doc_id, source, n_tokens, copies."""
     sized = cut_lineage(sizes(documents, path))
-    plan = [r.asDict() for r in quotas(sized, targets).collect()]  # one row a target
+    plan = quotas(sized, targets)
     spark = documents.sparkSession
     rows = [(r["source"], int(math.floor(r["copies"] + 1e-12)), max(0.0, r["copies"] - math.floor(r["copies"] + 1e-12)), max(1, -(-r["n_docs"] // LEAF))) for r in plan if r["n_docs"]]
     facts = spark.createDataFrame(rows, "source string, base int, mass double, leaves long")
@@ -164,9 +168,8 @@ def shares(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> D
         F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"),
         F.max("copies").alias("most_copies"), F.count_if(F.col("copies") > 0).alias("docs_used"),
     )
-    total = used.agg(F.sum("tokens_used").alias("total"))
-    want = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    joined = want.join(used, "source", "left").crossJoin(total)  # one row on the right
     counts = ["n_docs", "tokens", "tokens_used", "most_copies", "docs_used"]
-    joined = joined.na.fill(0, counts)
-    return joined.select("source", "target_share", "max_repeats", *counts, F.coalesce(F.try_divide(F.col("tokens_used"), F.col("total")), F.lit(0.0)).alias("share"))
+    rows = wanted(targets).join(used, "source", "left").na.fill(0, counts)
+    total = used.agg(F.sum("tokens_used")).first()[0] or 0
+    share = F.coalesce(F.try_divide(F.col("tokens_used"), F.lit(total)), F.lit(0.0))
+    return rows.select("source", "target_share", "max_repeats", *counts, share.alias("share"))

@@ -111,6 +111,7 @@ class Models:
     ends: dict[str, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
     temperature: float = 1.0
     limit: float = 99.0
+    sentence: np.ndarray = field(default_factory=lambda: np.ones(len(LANGUAGES)))  # mean letters of a sentence
 
     def score(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log probability of every code in every language."""
@@ -261,6 +262,10 @@ def fit(sample: list[tuple[str, str]], max_codes: int = MAX_CODES) -> Models:
         held.append(sides[1])
     made = _kneser_ney([c for c, _ in train], [s for _, s in train])
     made.ends = {kind: _endings([c for c, _ in train], [s for _, s in train], kind) for kind in ("sentence", "word")}
+    for lang, (codes, _) in enumerate(train):
+        stops = int((codes == STOP).sum())
+        if stops:
+            made.sentence[lang] = ((codes != STOP) & (codes != BLANK)).sum() / stops
     _calibrate(made, held)
     return made
 

@@ -39,8 +39,10 @@ LIFT = 4.0
 NEIGHBOURS = 30
 #: A source is prose if at least this share of its texts has sentence marks.
 PROSE_SHARE = 0.98
-#: A pair of words that never occurs, beside this many occurrences of longer words in its place, is cut.
+#: Occurrences of a word pair, whole or begun, from which it speaks for itself; below, its last word alone does.
 PAIR_EVIDENCE = 5
+#: How likely a text is cut where its length says nothing, as odds.
+ELSEWHERE = 0.02
 #: Cells that asked word beginnings are hashed to; the same number for any collection.
 CELLS = 1 << 20
 WHOLE, OPEN, WORD = 0, 1, 2
@@ -52,7 +54,7 @@ ENDED = regex.compile(rf"[{regex.escape(MARKS)}][{regex.escape(CLOSERS)}{regex.e
 SIGN = regex.compile(rf"[{regex.escape(MARKS)}][{regex.escape(CLOSERS)}]*\s+(?:[\p{{P}}\p{{S}}\s]*|[\p{{P}}\p{{S}}\s]*\p{{L}}{{0,3}}[\p{{P}}\s]*\p{{N}}+[\p{{N}}\p{{P}}\p{{S}}\s]*|[(\[（].*[)\]）])$")
 QUOTES = (("„", "“”"), ("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"))
 TIME_LINE = regex.compile(r"^\d+:\d\d:\d\d[,.]\d{3} --> \d+:\d\d:\d\d[,.]\d{3}\s*$")
-WORDS = regex.compile(r"[\p{L}\p{M}]+")
+WORDS = regex.compile(r"[\p{L}\p{M}\uFFFD]+")  # a replaced character does not end a word
 CUE_MARK = regex.compile(rf"\p{{L}}[{regex.escape(MARKS)}][{regex.escape(CLOSERS)}]*\s*(?:\n|$)")
 TAGS = regex.compile(r"(?:^|\n)\s*#\S*(?:\s+#\S*)*$")
 FORMS = ("srt", "ass", "list")
@@ -99,10 +101,11 @@ def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = batch.column("text")
         plain = plain_array(raw.cast(pa.large_string())).to_pylist()
         state, marked, before, last = [], [], [], []
-        for text, form in zip(plain, batch.column("doc_format").to_pylist()):
-            text = (text or "").strip()
+        for given, form in zip(plain, batch.column("doc_format").to_pylist()):
+            text = (given or "").strip()
             s, m = ending_state(text, form) if text else (WHOLE, True)
-            tail = WORDS.findall(text[-400:].lower()) if text and regex.match(r"[\p{L}\p{M}]", text[-1]) else []
+            inside = text and regex.match(r"[\p{L}\p{M}]", text[-1]) and not given[-1].isspace()
+            tail = WORDS.findall(text[-400:].lower()) if inside else []
             state.append(s)
             marked.append(m)
             last.append(tail[-1] if tail else None)
@@ -229,9 +232,10 @@ def truncated(documents: DataFrame) -> DataFrame:
     pair = found.withColumnRenamed("whole", "pair_whole").withColumnRenamed("longer", "pair_longer")
     single = found.where(F.col("before") == "").select("last", "whole", "longer")
     weighed = doubtful.join(pair, ["before", "last"], "left").join(single, "last", "left")
-    cut = (F.col("whole") == 0) & (F.col("longer") > 0)
-    cut |= (F.col("whole") * 100 < F.col("longer")) & (F.col("pair_whole") == 0)
-    cut |= (F.col("before") != "") & (F.col("pair_whole") == 0) & (F.col("pair_longer") >= PAIR_EVIDENCE)
+    # a text of a significant length was cut somewhere: inside a word, if longer words begin like its last one more often than it occurs
+    odds = F.when(F.col("at_limit"), 1.0).otherwise(ELSEWHERE)
+    told = (F.col("before") != "") & (F.col("pair_whole") + F.col("pair_longer") >= PAIR_EVIDENCE)
+    cut = odds * F.when(told, F.col("pair_longer")).otherwise(F.col("longer")) > F.when(told, F.col("pair_whole")).otherwise(F.col("whole")) + 0.01
     maybe = (F.col("whole") == 0) & F.col("at_limit")
     words = weighed.where(cut | maybe)
     columns = ["doc_id", "source", "n_chars", "at_limit"]

@@ -80,7 +80,7 @@ def ending_state(text: str, form: str | None) -> tuple[int, bool]:
         if len(block) < 3 or not TIME_LINE.match(block[1]):
             return OPEN, True
         said = "\n".join(block[2:])
-        return (prose_state(said) if CUE_MARK.search(text) else WORD), True
+        return prose_state(said), bool(CUE_MARK.search(text))
     if form == "ass":
         last = text.split("\n")[-1]
         if last.startswith("Dialogue:") or "Dialogue:".startswith(last):

@@ -122,7 +122,9 @@ class Identifier:
             else:
                 runs.append([lang, s.copy(), int(m)])
         while len(runs) > 1:
-            short = [i for i, r in enumerate(runs) if r[2] < LEAST[r[0]]]
+            # too short, or a few words unlike any language amid one: names
+            amid = [0 < i < len(runs) - 1 and runs[i - 1][0] == runs[i + 1][0] for i in range(len(runs))]
+            short = [i for i, r in enumerate(runs) if r[2] < LEAST[r[0]] or (amid[i] and r[2] < 2 * LEAST[r[0]] and -r[1][r[0]] > self.models.limit * r[2])]
             if not short:
                 break
             i = min(short, key=lambda j: (runs[j][2], j))

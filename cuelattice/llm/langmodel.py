@@ -110,14 +110,15 @@ class Models:
     floor: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ends: dict[str, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
     temperature: float = 1.0
-    limit: float = 99.0
+    limit: float = 12.0  # beyond what a fitted language gives unknown letters, within what one without texts does
     sentence: np.ndarray = field(default_factory=lambda: np.ones(len(LANGUAGES)))  # mean letters of a sentence
 
     def score(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log probability of every code in every language."""
         hashes = grams(codes, starts, len(self.keys))
         at = find(self.keys[0], hashes[0])
-        out = np.where((at >= 0)[:, None], self.logp[0][at].astype(np.float32), self.floor[None, :]).astype(np.float32)
+        out = np.repeat(self.floor[None, :].astype(np.float32), len(codes), axis=0)
+        out[at >= 0] = self.logp[0][at[at >= 0]]
         active = np.arange(len(codes))
         for k in range(1, len(self.keys)):
             active = active[hashes[k][active] != 0]
@@ -147,6 +148,7 @@ def _kneser_ney(codes: list[np.ndarray], starts: list[np.ndarray]) -> Models:
     """codes and starts: of each language's sample."""
     hashes = [grams(c, s, ORDER) for c, s in zip(codes, starts)]
     n_lang, made = len(LANGUAGES), Models()
+    trained = np.array([len(c) > 0 for c in codes])
     below = None
     for k in range(ORDER):
         union = np.unique(np.concatenate([np.unique(h[k]) for h in hashes]))
@@ -184,7 +186,7 @@ def _kneser_ney(codes: list[np.ndarray], starts: list[np.ndarray]) -> Models:
                 used = total > 0
                 gamma[used, lang] = discount * kinds[used] / total[used]
         if k == 0:
-            floor = unigram_gamma / ALPHABET
+            floor = np.where(trained, unigram_gamma / ALPHABET, 1e-13)  # a language without texts never wins
             probability = seen + floor[None, :]
             made.floor = np.log(floor).astype(np.float32)
         else:
@@ -204,7 +206,7 @@ def _endings(codes: list[np.ndarray], starts: list[np.ndarray], kind: str) -> li
     hashes = [grams(c, s, ENDING) for c, s in zip(codes, starts)]
     closed = []
     for c, s in zip(codes, starts):
-        following = np.append(c[1:], STOP)
+        following = np.append(c[1:], STOP)[: len(c)]
         following[s[1:] - 1] = STOP
         end = following == STOP if kind == "sentence" else (following == STOP) | (following == BLANK)
         end &= (c != BLANK) & (c != STOP)

@@ -50,3 +50,11 @@ def test_sample_is_bounded_and_repeatable(spark):
     frame = spark.createDataFrame(docs, "lang string, text string, doc_format string")
     a, b = labelled_sample(frame, 2), labelled_sample(frame.repartition(7), 2)
     assert a == b and len(a) == 16 and "listed" not in [t for _, t in a]
+
+
+def test_models_of_nothing_and_of_one_language():
+    from cuelattice.llm.langmodel import fit
+
+    assert Identifier(fit([])).segments(pa.array(["a text of some length", ""], pa.large_string())) == [[], []]
+    only = Identifier(fit([("de", sentence("de", 0, 0, 0))])).segments(pa.array([sentence("de", 0, 0, 0)], pa.large_string()))
+    assert [[LANGUAGES[x[0]] for x in s] for s in only] == [["de"]]

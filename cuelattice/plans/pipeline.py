@@ -50,8 +50,8 @@ class Pipeline:
         self.manifest.ensure_input(stable_hash(paths))
         for name in STAGES[low : high + 1]:
             digest = self.settings.stage_hash(name, self.fingerprint, self.model)
-            if name == "ocr":
-                self.manifest.rename_hash("ocr", self.settings.former_ocr_hash(self.fingerprint), digest)
+            if name == "ocr" and self.manifest.rename_hash("ocr", former := self.settings.former_ocr_hash(self.fingerprint), digest):
+                self._rename_cached(former, digest)
             if self.manifest.check(name, digest):
                 continue
             began = time.monotonic()
@@ -81,8 +81,7 @@ class Pipeline:
         if not self.settings.no_ocr_cache:
             rows = new.where("status = 'ok'").select("cache_key", F.lit(None).cast("string").alias("normalized"), "raw", F.current_timestamp().alias("created_at"))
             counted = dedupe.count_hits(known, found.select("cache_key", "hit")) if self.cache.exists("images") else known
-            self.cache.write("images_next", dedupe.upsert(counted, rows))
-            self.cache.write("images", self.spark.read.parquet(self.cache.path("images_next")))
+            self.cache.write("images", cut_lineage(dedupe.upsert(counted, rows)))
         raw = new.select("cache_key", "status", "raw").unionByName(known.join(images.select("cache_key"), "cache_key", "left_semi").select("cache_key", F.lit("ok").alias("status"), "raw"))
         facts = self.work.read("videos").select("video_id", "width", "height")
         results = samples.drop("status").join(raw, "cache_key").join(facts, "video_id", "left")
@@ -103,6 +102,11 @@ class Pipeline:
             return self.spark.createDataFrame([], CACHE_COLUMNS)
         return self.spark.read.parquet(self.cache.path("images"))
 
+    def _rename_cached(self, old: str, new: str) -> None:
+        """Cached images keep their results when only the way the hash is made has changed."""
+        if self.cache.exists("images"):
+            self.cache.write("images", cut_lineage(dedupe.migrate_keys(self._cached(), old, new)))
+
     def _track(self) -> None:
         results = tables.complete_results(self.work.read("samples"), self.work.read("ocr")).withColumn("ingested_at", F.lit(None).cast("timestamp"))
         facts = self.work.read("videos").select("video_id", "duration", F.lit(self.settings.interval).alias("sample_interval"))

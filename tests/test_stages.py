@@ -174,6 +174,12 @@ def test_whole_run_and_resume(spark, tmp_path):
     again = make_run(spark, tmp_path, Settings(audio_transcribe=True, ocr_batch_size=1))
     again.manifest.invalidate("ocr")
     assert again.run(first="ocr", last="ocr")["ocr"]["recognised"] == 0
+    # a manifest and cache of the former hash are carried over, not done again
+    former, now = Settings(ocr_batch_size=1).former_ocr_hash(), Settings().stage_hash("ocr")
+    again.manifest.mark("ocr", former, True)
+    again._rename_cached(now, former)
+    assert "ocr" not in make_run(spark, tmp_path, Settings(audio_transcribe=True, ocr_batch_size=1)).run(last="ocr")["durations"]
+    assert {r["cache_key"].split(":")[1] for r in again._cached().collect()} == {now}
 
 
 def test_strict_run_stops(spark, tmp_path):

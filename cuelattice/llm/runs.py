@@ -5,7 +5,8 @@ long the video. Per region its texts become one symbol string: a code point for
 plain text, GAP for an ok sample without a block in the region. A backreference pattern finds
 repetitions, once over the texts and once over the texts' anchors (the first text of the run a
 text is similar to), and its spans map back to sample numbers and timestamps. What may reach over
-the edge of a stretch is carried by a fold over stretch summaries.
+the edge of a stretch is carried by a fold over stretch summaries: a stretch hands on only what
+lies before the first text that begins a run whatever was open, and its last run.
 
 Defined results: failed samples and samples without a number do not count; of several blocks of a
 sample in one region the first in the array counts; a block without a box has no region; a null
@@ -14,6 +15,7 @@ text is the empty text; a null timestamp gives a null duration.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +63,42 @@ def _anchors(entries: list[list], forms: dict[str, str], threshold: float, known
     return out
 
 
+def may_share_anchor(a: str, b: str, threshold: float) -> bool:
+    """Whether some text could be similar enough to both of two matching forms.
+
+    What a text shares with a and what it shares with b overlaps in the text by so much at least,
+    and that much a and b have in common; the text is at most so long to be similar to either.
+    """
+    common = sum((Counter(a) & Counter(b)).values())
+    longest = min(len(a), len(b)) * (2 / threshold - 1)
+    return common >= threshold / 2 * (len(a) + len(b)) - (1 - threshold) * longest - 1e-9
+
+
+def _synchronised(entries: list[list], forms: dict[str, str], threshold: float, known: dict) -> int:
+    """The first entry that begins a run whatever run was open before the chunk; their number if none does.
+
+    Follows all anchors that may be in force: the unknown one from before, and those it may have ended for.
+    """
+    possible: set[str | None] = {None}
+    for k, entry in enumerate(entries):
+        text, after, begins = entry[0], set(), True
+        for anchor in possible:
+            if anchor is None:
+                goes_on = k == 0 or may_share_anchor(forms[entries[0][0]], forms[text], threshold)
+                after.add(text)  # it may also end here
+            else:
+                pair = (forms[text], forms[anchor])
+                if pair not in known:
+                    known[pair] = at_least(*pair, threshold)
+                goes_on = known[pair]
+            after.add(anchor if goes_on else text)
+            begins &= not goes_on
+        if begins:
+            return k
+        possible = after
+    return len(entries)
+
+
 def _chunk_rows(video, chunk, numbers, times, texts, region, forms, pattern, threshold, known) -> list[tuple]:
     """FINAL runs of one region of one chunk and the OPEN entries that the fold has to finish."""
     seen = [i for i, text in enumerate(texts) if text is not None]
@@ -75,6 +113,8 @@ def _chunk_rows(video, chunk, numbers, times, texts, region, forms, pattern, thr
         end = m.end()
     trailing = min(n - end, TOLERANCE + 1)
     cuts = [k for k, entry in enumerate(entries) if entry[1] > TOLERANCE] + [len(entries)]
+    if cuts[0] and (at := _synchronised(entries[: cuts[0]], forms, threshold, known)) < cuts[0]:
+        cuts.insert(0, at)
     rows: list[tuple] = []
 
     def add(kind: int, gap: int, text: str, start: int, stop: int) -> None:

@@ -3,9 +3,12 @@
 import random
 from datetime import datetime
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from cuelattice.functions.similarity import match_text, matched_ratio
 from cuelattice.llm.plainform import plain_list
-from cuelattice.llm.runs import text_runs
+from cuelattice.llm.runs import may_share_anchor, text_runs
 from cuelattice.schemas import BLOCK
 
 SAMPLES = f"video_id long, sample_index int, timestamp_s double, status string, blocks array<{BLOCK}>, ingested_at timestamp_ntz, items string, chunk int"
@@ -66,6 +69,26 @@ def test_random_timelines(spark):
         assert found(frame, chunk) == want, chunk
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcdé", max_size=14), st.text(alphabet="abcdé", max_size=14), st.text(alphabet="abcdé", max_size=14))
+def test_texts_with_a_common_anchor_are_seen_as_such(anchor, a, b):
+    for t in (0.6, 0.85):
+        if matched_ratio(a, anchor) >= t and matched_ratio(b, anchor) >= t:
+            assert may_share_anchor(a, b, t)
+
+
+def test_busy_screens_hand_on_little(spark):
+    rng = random.Random(8)
+    rows = [sample(1, i, {"top": " ".join(rng.choice(["alpha", "bravo", "delta", "kilo", "lima", "oscar"]) for _ in range(6))}) for i in range(1, 401)]
+    texts = [r[4][0][2] for r in rows]
+    from cuelattice.llm import runs as R
+
+    got = R._chunk_rows(1, 0, list(range(1, 401)), [0.0] * 400, texts, "top", {t: match_text(t) for t in texts}, R.repetition(), 0.85, {})
+    assert sum(r[4] == R.OPEN for r in got) < 20 and len(got) > 200
+    frame = spark.createDataFrame(rows, SAMPLES)
+    assert found(frame, 16) == brute(rows)
+
+
 def test_a_run_over_many_chunks_and_odd_rows(spark):
     rows = [sample(1, i, {"top": "same text"}) for i in range(1, 101)] + [sample(1, 150, {"top": "same text"})]
     rows += [(None, 1, 0.0, "ok", [], datetime(2024, 1, 1), None, None), (1, None, 0.0, "ok", None, datetime(2024, 1, 1), None, None)]

@@ -19,6 +19,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,7 @@ SIGN = regex.compile(rf"[{regex.escape(MARKS)}][{regex.escape(CLOSERS)}]*\s+(?:[
 QUOTES = (("„", "“”"), ("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"))
 TIME_LINE = regex.compile(r"^\d+:\d\d:\d\d[,.]\d{3} --> \d+:\d\d:\d\d[,.]\d{3}\s*$")
 WORDS = regex.compile(r"[\p{L}\p{M}\uFFFD]+")  # a replaced character does not end a word
+WORDS_BACK = regex.compile(rf"(?r){WORDS.pattern}")
 CUE_MARK = regex.compile(rf"\p{{L}}[{regex.escape(MARKS)}][{regex.escape(CLOSERS)}]*\s*(?:\n|$)")
 TAGS = regex.compile(r"(?:^|\n)\s*#\S*(?:\s+#\S*)*$")
 FORMS = ("srt", "ass", "list")
@@ -105,11 +107,11 @@ def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = (given or "").strip()
             s, m = ending_state(text, form) if text else (WHOLE, True)
             inside = text and regex.match(r"[\p{L}\p{M}]", text[-1]) and not given[-1].isspace()
-            tail = WORDS.findall(text[-400:].lower()) if inside else []
+            tail = [m.group() for m in islice(WORDS_BACK.finditer(text.lower()), 2)] if inside else []  # the last word first
             state.append(s)
             marked.append(m)
-            last.append(tail[-1] if tail else None)
-            before.append(tail[-2] if len(tail) > 1 else "")
+            last.append(tail[0] if tail else None)
+            before.append(tail[1] if len(tail) > 1 else "")
         chars = pa.compute.utf8_length(raw).cast(pa.int64())
         size = pa.compute.binary_length(raw).cast(pa.int64())
         yield pa.RecordBatch.from_arrays(

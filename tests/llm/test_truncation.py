@@ -57,6 +57,16 @@ def test_cut_transcripts_prose_and_lists(spark):
     assert T.truncated(frame.limit(0)).count() == 0 and T.cut_rates(frame.limit(0)).count() == 0
 
 
+def test_last_words_of_any_length(spark):
+    rng = random.Random(8)
+    run = "".join(rng.choice("漁師銀鍵箱窓橋庭船長糸巻壊見知破手紙黄色古地図真鍮") for _ in range(900))
+    rows = [(1, "asr", "txt", f"始 {run} 次の話 終", 1, 1), (2, "asr", "txt", f"始 {run[:700]}", 1, 1), (3, "asr", "txt", f"始 {run}", 1, 1)]
+    frame = spark.createDataFrame(rows, DOCS)
+    ends = {r["doc_id"]: (r["before"], r["last"]) for r in T.text_endings(frame).collect()}
+    assert ends == {1: ("次の話", "終"), 2: ("始", run[:700]), 3: ("始", run)}
+    assert {r["doc_id"] for r in T.truncated(frame).collect()} == {2}
+
+
 def test_limits_are_significant_lengths(spark):
     rng = random.Random(6)
     lengths = [min(280, int(rng.lognormvariate(5.2, 0.7))) for _ in range(4000)]

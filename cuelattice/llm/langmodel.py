@@ -236,12 +236,15 @@ def language_code(label: str | None) -> str:
 
 
 def labelled_sample(documents: DataFrame, docs: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """Up to docs texts a language, the first ones by hash; the same for any order of rows."""
+    """Up to docs distinct texts a language, the first ones by hash; the same for any order of rows."""
     lang = F.lower(F.substring_index(F.regexp_replace(F.trim("lang"), "_", "-"), "-", 1))
     rows = documents.where(F.col("text").isNotNull() & (F.col("doc_format") != "list")).select(lang.alias("lang"), F.left("text", F.lit(MAX_CODES)).alias("text"), F.xxhash64("text").alias("h"))
     rows = rows.where(F.col("lang").isin(*LANGUAGES))
-    ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= docs)
-    return [(r["lang"], r["text"]) for r in ranked.orderBy("lang", "r").collect()]
+    # only hashes are ranked; the texts of the chosen ones are fetched, copies once
+    hashes = rows.select("lang", "h").distinct()
+    chosen = hashes.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs)
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text"))
+    return [(r["lang"], r["text"]) for r in texts.orderBy("lang", "r").collect()]
 
 
 def fit(sample: list[tuple[str, str]], max_codes: int = MAX_CODES) -> Models:

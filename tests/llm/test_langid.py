@@ -52,6 +52,12 @@ def test_sample_is_bounded_and_repeatable(spark):
     assert a == b and len(a) == 16 and "listed" not in [t for _, t in a]
 
 
+def test_sample_holds_copies_once(spark):
+    texts = [sentence("en", k, k // 4, 0) for k in range(8)]
+    frame = spark.createDataFrame([("en", t, "txt") for t in texts for _ in range(20)], "lang string, text string, doc_format string")
+    assert {t for _, t in labelled_sample(frame, 8)} == set(texts) and len(labelled_sample(frame, 5)) == 5
+
+
 def test_models_of_nothing_and_of_one_language():
     from cuelattice.llm.langmodel import fit
 

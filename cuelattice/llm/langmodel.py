@@ -1,9 +1,9 @@
 """Character models per language: interpolated Kneser-Ney, and how sentences and words end.
 
-Models are fitted on a bounded sample of labelled documents (SAMPLE_DOCS documents a language,
-MAX_CODES characters a language) and kept as sorted arrays of 64-bit hashes of character
-sequences, with one column of values for each language, so that a batch of texts is scored in all
-languages by a few searches.
+Models are fitted on a bounded sample of labelled documents (SAMPLE_DOCS documents, MAX_CODES
+characters of each and SAMPLE_CODES of all, a language) and kept as sorted arrays of 64-bit hashes
+of character sequences, with one column of values for each language, so that a batch of texts is
+scored in all languages by a few searches.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ LANGUAGES = ("en", "de", "fr", "es", "ru", "ja", "zh", "ko")
 DENSE = ("ja", "zh", "ko")
 SAMPLE_DOCS = 240
 MAX_CODES = 90_000
+#: Characters a language that the driver receives at most.
+SAMPLE_CODES = 4 * MAX_CODES
 ORDER = 5
 ENDING = 8
 ALPHABET = 20_000
@@ -235,14 +237,17 @@ def language_code(label: str | None) -> str:
     return (label or "").strip().lower().replace("_", "-").split("-")[0]
 
 
-def labelled_sample(documents: DataFrame, docs: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """Up to docs distinct texts a language, the first ones by hash; the same for any order of rows."""
+def labelled_sample(documents: DataFrame, docs: int = SAMPLE_DOCS, codes: int = SAMPLE_CODES) -> list[tuple[str, str]]:
+    """Up to docs distinct texts and codes characters a language, the first ones by hash; the same for any order of rows."""
     lang = F.lower(F.substring_index(F.regexp_replace(F.trim("lang"), "_", "-"), "-", 1))
-    rows = documents.where(F.col("text").isNotNull() & (F.col("doc_format") != "list")).select(lang.alias("lang"), F.left("text", F.lit(MAX_CODES)).alias("text"), F.xxhash64("text").alias("h"))
-    rows = rows.where(F.col("lang").isin(*LANGUAGES))
+    prose = F.coalesce(F.col("doc_format") != "list", F.lit(True))
+    rows = documents.where(F.col("text").isNotNull() & prose).select(lang.alias("lang"), F.left("text", F.lit(MAX_CODES)).alias("text"), F.xxhash64("text").alias("h"))
+    rows = rows.where(F.col("lang").isin(*LANGUAGES)).withColumn("size", F.length("text"))
     # only hashes are ranked; the texts of the chosen ones are fetched, copies once
-    hashes = rows.select("lang", "h").distinct()
-    chosen = hashes.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs)
+    hashes = rows.groupBy("lang", "h").agg(F.max("size").alias("size"))
+    by = W.partitionBy("lang").orderBy("h")
+    first = hashes.withColumn("r", F.row_number().over(by)).where(F.col("r") <= docs)
+    chosen = first.withColumn("upto", F.sum("size").over(by)).where(F.col("upto") <= codes).select("lang", "h", "r")
     texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text"))
     return [(r["lang"], r["text"]) for r in texts.orderBy("lang", "r").collect()]
 

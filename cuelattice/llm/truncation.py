@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -44,8 +44,8 @@ PROSE_SHARE = 0.98
 PAIR_EVIDENCE = 5
 #: How likely a text is cut where its length says nothing, as odds.
 ELSEWHERE = 0.02
-#: Cells that asked word beginnings are hashed to; the same number for any collection.
-CELLS = 1 << 20
+#: Bits of the cells that asked word beginnings are hashed to, and cells of a block; the same for any collection.
+CELL_BITS, CELL_BLOCK = 24, 1 << 15
 WHOLE, OPEN, WORD = 0, 1, 2
 MARKS = ".!?…。！？"
 CLOSERS = "\"'”’»」』)）]】"
@@ -120,50 +120,105 @@ def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def cell(before: str, last: str) -> int:
-    return zlib.crc32(last.encode(), zlib.crc32(f"{before}\0".encode())) & (CELLS - 1)
+@lru_cache(maxsize=1 << 16)
+def prefix_codes(word: str) -> np.ndarray:
+    """Hash of each beginning of a word, the whole word last."""
+    codes, code = [], 0
+    for letter in word:
+        code = zlib.crc32(letter.encode(), code)
+        codes.append(code)
+    return np.array(codes, np.uint64)
+
+
+def cells_of(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Cell of each beginning, by its hash and that of the word before it."""
+    with np.errstate(over="ignore"):
+        mixed = (before * np.uint64(0x9E3779B97F4A7C15) ^ last) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed >> np.uint64(64 - CELL_BITS)
+
+
+def word_code(word: str) -> int:
+    return zlib.crc32(word.encode())
 
 
 def asked_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = {cell(a, b) for a, b in zip(batch.column("before").to_pylist(), batch.column("last").to_pylist())}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["cell"])
+        before, last = (np.array([word_code(w) for w in batch.column(c).to_pylist()], np.uint64) for c in ("before", "last"))
+        found = np.unique(cells_of(before, last)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found // CELL_BLOCK, pa.int32()), pa.array(found % CELL_BLOCK, pa.int32())], names=["block", "cell"])
+
+
+def pack_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of few blocks -> the bits of each."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        block, cell = (c.to_numpy() for c in batch.columns)
+        for b in np.unique(block).tolist():
+            held.setdefault(b, np.zeros(CELL_BLOCK, np.uint8))[cell[block == b]] = 1
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
+
+
+def cell_filter(asked: DataFrame) -> bytes:
+    """A bit for each of the 2 ** CELL_BITS cells, whether a beginning is asked there; of the same size for any number of them."""
+    rows = asked.select("before", "last").mapInArrow(asked_cells, "block int, cell int").repartition("block").mapInArrow(pack_cells, "block int, bits binary").collect()
+    bits = np.zeros(((1 << CELL_BITS) // CELL_BLOCK, CELL_BLOCK // 8), np.uint8)
+    for row in rows:
+        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.tobytes()
 
 
-def prefix_counts(load: Callable[[], np.ndarray]) -> Callable:
-    """How often asked word beginnings are whole words, and begin longer ones, inside texts; the last word of each is left out.
+def word_counts(load: Callable[[], bytes]) -> Callable:
+    """How often words occur inside texts (before = '') and after another word, of those that begin in an asked way, and the lengths of such beginnings.
 
-    A beginning is asked for alone (before = '') or after a word, and looked up in cells of fixed
-    number, so what is counted besides the asked ones only costs time.
+    The last word of each text is left out.
+    Asked beginnings are looked up in cells of fixed number, so words besides the asked ones may be
+    counted too; however many are asked, a batch gives a row at most for each of its distinct pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = load().tobytes()
+        asked = np.unpackbits(np.frombuffer(load(), np.uint8)).astype(bool)
         for batch in batches:
-            counts: Counter[tuple[str, str]] = Counter()
+            ids: dict[str, int] = {"": 0}
+            spans = []
             for text in plain_array(batch.column("text").cast(pa.large_string())).to_pylist():
                 words = WORDS.findall((text or "").lower())[:-1]
-                counts.update(zip(words, words[1:]))
-                if words:
-                    counts["", words[0]] += 1
-            singles: Counter[str] = Counter()
-            for (_, word), n in counts.items():
-                singles[word] += n
-            out: dict[tuple[str, str], list[int]] = {}
-            every = [*((k, n) for k, n in counts.items() if k[0]), *((("", w), n) for w, n in singles.items())]
-            for (before, word), n in every:
-                code = zlib.crc32(f"{before}\0".encode())
-                for i, letter in enumerate(word, 1):
-                    code = zlib.crc32(letter.encode(), code)
-                    if cells[code & (CELLS - 1)]:
-                        out.setdefault((before, word[:i]), [0, 0])[i < len(word)] += n
-            columns = [pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())]
-            columns += [pa.array([v[k] for v in out.values()], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["before", "last", "whole", "longer"])
+                spans.append(np.array([0, *(ids.setdefault(w, len(ids)) for w in words)], np.int64))
+            flat = np.concatenate([*spans, np.zeros(1, np.int64)])
+            pairs, n = np.unique(flat[:-1] << 32 | flat[1:], return_counts=True)
+            before, word = pairs >> 32, pairs & 0xFFFFFFFF
+            names = np.array(list(ids), object)
+            single = np.bincount(word, n, len(names)).astype(np.int64)
+            kept = (before > 0) & (word > 0)
+            seen = np.flatnonzero(single[1:]) + 1
+            before, word, n = np.concatenate((before[kept], np.zeros(len(seen), np.int64))), np.concatenate((word[kept], seen)), np.concatenate((n[kept], single[seen]))
+            codes = [prefix_codes(w) for w in ids]
+            length = np.array([len(c) for c in codes])
+            starts = np.cumsum(length) - length
+            every = np.concatenate(codes)
+            own = np.array([word_code(w) for w in ids], np.uint64)
+            size = length[word]
+            row = np.repeat(np.arange(len(word)), size)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + starts[word][row]
+            found = np.flatnonzero(asked[cells_of(own[before[row]], every[at])])
+            hits = np.bincount(row[found], minlength=len(word))
+            hit = np.flatnonzero(hits)
+            ends = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(hits[hit]))), pa.int32()), pa.array((at - starts[word][row] + 1)[found], pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(names[before[hit]], pa.string()), pa.array(names[word[hit]], pa.string()), pa.array(n[hit], pa.int64()), ends], names=["before", "word", "n", "ends"])
 
     return run
 
 
+def beginning_counts(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked: before, last -> how often last is a whole word inside the texts, and begins a longer one: whole, longer."""
+    shared = documents.sparkSession.sparkContext.broadcast(cell_filter(asked))
+    texts = spread(documents.select("text").where(F.col("text").isNotNull()))
+    counts = texts.mapInArrow(word_counts(lambda: shared.value), "before string, word string, n long, ends array<int>").groupBy("before", "word").agg(F.sum("n").alias("n"), F.first("ends").alias("ends"))
+    begun = counts.select("before", "word", "n", F.explode("ends").alias("end")).select("before", "word", "n", F.left("word", F.col("end")).alias("last"))
+    whole = F.col("last") == F.col("word")
+    told = begun.join(asked, ["before", "last"]).groupBy("before", "last")
+    return told.agg(F.sum(F.when(whole, F.col("n")).otherwise(0)).alias("whole"), F.sum(F.when(whole, 0).otherwise(F.col("n"))).alias("longer"))
+
+
 @F.pandas_udf(T.DoubleType())
 def poisson_tail(seen: pd.Series, expected: pd.Series) -> pd.Series:
     """Probability of at least seen events where expected are."""
@@ -205,8 +260,8 @@ def text_endings(documents: DataFrame) -> DataFrame:
     return columns.mapInArrow(endings, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, n_chars long, n_bytes long, state int, marked boolean, before string, last string")
 
 
-def truncated(documents: DataFrame) -> DataFrame:
-    """The cut documents: doc_id, source, n_chars, at_limit (the length is a significant one)."""
+def judged_endings(documents: DataFrame) -> DataFrame:
+    """Texts that do not end plainly whole: doc_id, source, n_chars, before, last, state, at_limit (the length is a significant one)."""
     ends = cut_lineage(text_endings(documents))  # without the texts
     by_source = ends.groupBy("source").agg(F.avg(F.col("marked").cast("double")).alias("share"))
     limits = length_hazards(ends).where("significant").groupBy("source").agg(
@@ -217,23 +272,20 @@ def truncated(documents: DataFrame) -> DataFrame:
     at_limit = F.coalesce(F.array_contains("chars", F.col("n_chars")), F.lit(False)) | F.coalesce(F.array_contains("bytes", F.col("n_bytes")), F.lit(False))
     # a text without any mark is judged by its last word, unless its source always has marks
     judged = F.when((F.col("state") == OPEN) & ~F.col("marked") & (F.col("share") < PROSE_SHARE), WORD).otherwise(F.col("state"))
-    known = open_ends.select("doc_id", "source", "n_chars", "before", "last", judged.alias("state"), at_limit.alias("at_limit"))
+    return cut_lineage(open_ends.select("doc_id", "source", "n_chars", "before", "last", judged.alias("state"), at_limit.alias("at_limit")))
+
+
+def truncated(documents: DataFrame) -> DataFrame:
+    """The cut documents: doc_id, source, n_chars, at_limit (the length is a significant one)."""
+    known = judged_endings(documents)
     plainly = known.where(F.col("state") == OPEN)
     doubtful = known.where((F.col("state") == WORD) & F.col("last").isNotNull())
-    wanted = doubtful.select("before", "last").distinct()
-    asked = wanted.unionByName(wanted.select(F.lit("").alias("before"), "last")).distinct()
-    cells = np.zeros(CELLS, np.uint8)
-    cells[asked.mapInArrow(asked_cells, "cell int").distinct().toArrow().column("cell").to_numpy()] = 1  # CELLS rows at most
-    shared = documents.sparkSession.sparkContext.broadcast(cells)
-    starts = (
-        spread(documents.select("text").where(F.col("text").isNotNull()))
-        .mapInArrow(prefix_counts(lambda: shared.value), "before string, last string, whole long, longer long")
-        .groupBy("before", "last").agg(F.sum("whole").alias("whole"), F.sum("longer").alias("longer"))
-    )
-    found = asked.join(starts, ["before", "last"], "left").na.fill(0, ["whole", "longer"])
-    pair = found.withColumnRenamed("whole", "pair_whole").withColumnRenamed("longer", "pair_longer")
-    single = found.where(F.col("before") == "").select("last", "whole", "longer")
-    weighed = doubtful.join(pair, ["before", "last"], "left").join(single, "last", "left")
+    # each ending is asked for after its word, and alone
+    asked = doubtful.select(F.explode(F.array(F.struct("before", "last"), F.struct(F.lit("").alias("before"), "last"))).alias("a")).select("a.*").distinct()
+    counts = cut_lineage(beginning_counts(documents, asked))
+    pair = counts.select("before", "last", F.col("whole").alias("pair_whole"), F.col("longer").alias("pair_longer"))
+    single = counts.where(F.col("before") == "").select("last", "whole", "longer")
+    weighed = doubtful.join(pair, ["before", "last"], "left").join(single, "last", "left").na.fill(0, ["pair_whole", "pair_longer", "whole", "longer"])
     # a text of a significant length was cut somewhere: inside a word, if longer words begin like its last one more often than it occurs
     odds = F.when(F.col("at_limit"), 1.0).otherwise(ELSEWHERE)
     told = (F.col("before") != "") & (F.col("pair_whole") + F.col("pair_longer") >= PAIR_EVIDENCE)

@@ -40,19 +40,44 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster names no folder that its executors share."""
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one the cluster names, else one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")).rstrip("/")
+    """The folder that all executors share: the one spark.checkpoint.dir names; only a local session may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
+    raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
+
+
+_cuts: dict[str, list[str]] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and read it back.
 
-    Unlike an eager checkpoint this computes df once. The table goes when the driver ends.
+    Unlike an eager checkpoint this computes df once. The table goes when the driver ends, or with
+    drop_cuts once nothing that reads it is to be computed any more.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/{app}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _cuts.setdefault(app, []).append(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables of all cuts so far; how many they were. DataFrames that read them can no longer be computed."""
+    paths = _cuts.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

@@ -3,12 +3,14 @@
 import random
 import subprocess
 from pathlib import Path
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelattice.operators.ordinals import numbered, time_bucket
-from cuelattice.session import cut_lineage, spread
+from cuelattice.session import NoSharedFolder, cut_lineage, drop_cuts, shared_folder, spread
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -28,6 +30,22 @@ def test_cut_lineage_reads_a_table(spark):
     assert cut_lineage(spark.range(0)).count() == 0
 
 
+def test_cut_tables_can_be_dropped(spark):
+    cut = cut_lineage(spark.range(3))
+    path = Path(cut.inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists() and drop_cuts(spark) >= 1 and not path.exists() and drop_cuts(spark) == 0
+
+
+@pytest.mark.parametrize("master, named, found", [("local[4]", None, "spark-warehouse/checkpoints"), ("local[*]", "hdfs://x/y/", "hdfs://x/y"), ("spark://h:7077", "s3a://b/c", "s3a://b/c"), ("spark://h:7077", None, None), ("local-cluster[3,2,1024]", None, None), ("yarn", None, None)])
+def test_clusters_must_name_a_shared_folder(master, named, found):
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=SimpleNamespace(master=master))
+    if found is None:
+        with pytest.raises(NoSharedFolder):
+            shared_folder(session)
+    else:
+        assert shared_folder(session).endswith(found)
+
+
 def test_spread_moves_only_scans_of_few_files(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
     one = spark.read.parquet(str(tmp_path / "t"))

@@ -3,12 +3,16 @@
 An exact similarity join in the manner of set relations. Texts that are equal once compared form a
 class with one set. Sets list their sequences rarest first (by a sketch of counts over all sets of
 constant size), and only the first ones are indexed. The list of a sequence holds its sets by size
-with the position it has in them; blocks of a list are skipped by size and position, and whole
-rows by their leader: what a set's bitmap differs from a list's sets by is bounded by what a highly
-similar set, whose differences are known, differs from them by. What is left is verified exactly.
+with the position it has in them; blocks of a list are skipped by size and position, and pairs by
+parity bitmaps.
+
+What is left is verified by family, sets that share their least hashes. The first set of a family
+is compared in full, and its overlaps are kept. Those of a highly similar set follow from them: only
+the sequences in which the two differ are looked for, and a bound on their number skips most.
 
 Lists of sequences that more than HOT sets hold are cut into parts, and each pair of parts meets
-in a task of its own, so no link is lost and no task holds a hot list.
+in a task of its own, so no link is lost and no task holds a hot list. Families are cut where the
+range of a task ends.
 
 Defined results: null texts and texts below MIN_LENGTH compared characters take no part; a record
 with repeated rows counts once; texts of any length are compared whole.
@@ -33,11 +37,15 @@ WIDTH = 3
 #: Cells of the count sketch; it is the same size for any collection.
 SKETCH = 1 << 20
 #: 64-bit words of a set's parity bitmap.
-BITMAP = 8
+BITMAP = 4
 HOT = 20_000
 BLOCK = 256
-#: Bits by which a set may differ from its leader.
+#: Lists up to this length are paired all at once.
+SHORT = 64
+#: Sequences in which a set may differ from the first of its family to be derived from it.
 CLOSE = 48
+#: Copies of a text that one key of the join of copies holds.
+COPIES = 1000
 OTHER = regex.compile(r"[^\p{L}\p{Nd}]+")
 
 
@@ -66,22 +74,30 @@ def least_overlap(sizes: np.ndarray | int, threshold: float) -> np.ndarray:
 
 def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
     """Bits that an odd number of elements fall on; the bitmaps of two sets differ by at most what the sets do."""
-    odd = np.bincount((mix(tokens) >> np.uint64(55)).astype(np.int64), minlength=BITMAP * 64) & 1
+    odd = np.bincount((mix(tokens) >> np.uint64(56)).astype(np.int64), minlength=BITMAP * 64) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def family_of(text: str) -> int:
+    """The same for most highly similar texts: their three least hashes."""
+    hashed = mix(sequences(text))
+    return int(np.bitwise_xor.reduce(np.partition(hashed, min(3, len(hashed) - 1))[:3]).view(np.int64)) if len(hashed) else 0
+
+
 def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [compared(t) for t in batch.column("text").to_pylist()]
         keep = [k for k, t in enumerate(texts) if len(t) >= MIN_LENGTH]
-        yield pa.RecordBatch.from_arrays([batch.column("rec_key").take(pa.array(keep, pa.int64())), pa.array([texts[k] for k in keep], pa.string())], names=["rec_key", "text"])
+        columns = [batch.column("rec_key").take(pa.array(keep, pa.int64())), pa.array([texts[k] for k in keep], pa.string()), pa.array([family_of(texts[k]) for k in keep], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["rec_key", "text", "family"])
 
 
 def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SKETCH, np.int64)
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            np.add.at(total, (mix(sequences(text)) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+        hashed = [mix(sequences(text)) for text in batch.column("text").to_pylist()]
+        if hashed:
+            total += np.bincount((np.concatenate(hashed) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["cell", "n"])
 
@@ -94,27 +110,25 @@ def count_sketch(texts: DataFrame) -> np.ndarray:
     return sketch
 
 
-POSTING = "bucket int, part_a int, part_b int, part int, token long, class_id string, size int, at int, family long, bits binary"
+POSTING = "token long, part_a int, part_b int, part int, class_no long, size int, at int, family long, bits binary"
 
 
-def postings(load: Callable[[], np.ndarray], buckets: int, threshold: float, hot: int) -> Callable:
+def postings(load: Callable[[], np.ndarray], threshold: float, hot: int) -> Callable:
     """A row for each indexed sequence of a set (and each pair of parts, for hot sequences)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = load()
         for batch in batches:
-            ids = batch.column("class_id")
-            per_set: list[tuple] = []  # size, family, bits, own number
-            row, token, at, held = [], [], [], []
-            for k, (class_id, text) in enumerate(zip(ids.to_pylist(), batch.column("text").to_pylist())):
+            number = batch.column("class_no").to_numpy()
+            sizes, bits, row, token, at, held = [], [], [], [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 tokens = sequences(text)
                 hashed = mix(tokens)
                 count = sketch[(hashed & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
-                order = np.lexsort((hashed, count))
                 size = len(tokens)
-                first = order[: size - int(np.ceil(threshold * size - 1e-9)) + 1]
-                family = int(np.bitwise_xor.reduce(hashed[order[:3]]).view(np.int64))
-                per_set.append((size, family, parity_bitmap(tokens).tobytes(), int(class_id[:8], 16)))
+                first = np.lexsort((hashed, count))[: size - int(np.ceil(threshold * size - 1e-9)) + 1]
+                sizes.append(size)
+                bits.append(parity_bitmap(tokens).tobytes())
                 row.append(np.full(len(first), k))
                 token.append(hashed[first].view(np.int64))
                 at.append(np.arange(len(first)))
@@ -126,167 +140,265 @@ def postings(load: Callable[[], np.ndarray], buckets: int, threshold: float, hot
             # a hot sequence is written once for each part that the set's own part has to meet
             wide = np.repeat(np.arange(len(row)), parts)
             other = np.arange(len(wide)) - np.repeat(np.cumsum(parts) - parts, parts)
-            mine = np.array([x[3] for x in per_set], np.int64)[row[wide]] % parts[wide]
+            mine = (mix(number.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)[row[wide]] % parts[wide]
             of = pa.array(row[wide])
             columns = [
-                pa.array((token[wide] % buckets).astype(np.int32)), pa.array(np.minimum(mine, other).astype(np.int32)), pa.array(np.maximum(mine, other).astype(np.int32)), pa.array(mine.astype(np.int32)),
-                pa.array(token[wide]), ids.take(of), pa.array([x[0] for x in per_set], pa.int32()).take(of), pa.array(at[wide].astype(np.int32)),
-                pa.array([x[1] for x in per_set], pa.int64()).take(of), pa.array([x[2] for x in per_set], pa.binary()).take(of),
+                pa.array(token[wide]), pa.array(np.minimum(mine, other).astype(np.int32)), pa.array(np.maximum(mine, other).astype(np.int32)), pa.array(mine.astype(np.int32)),
+                pa.array(number[row[wide]]), pa.array(sizes, pa.int32()).take(of), pa.array(at[wide].astype(np.int32)), batch.column("family").take(of), pa.array(bits, pa.binary()).take(of),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in POSTING.split(", ")])
 
     return run
 
 
-def list_pairs(size: np.ndarray, at: np.ndarray, bits: np.ndarray, family: np.ndarray, part: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one list, sorted by size: indices of the smaller and the larger set."""
-    n = len(size)
-    # the smaller set of a pair shows a common sequence earlier than the larger one has to
-    short = at < size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9) + 1
-    left = size - at
-    _, leader, of = np.unique(family, return_index=True, return_inverse=True)
-    leader = leader[of]
-    one, two = [], []
-    crossing = part.min() != part.max()
-    for low in range(0, n, BLOCK):
-        rows = np.arange(low, min(low + BLOCK, n))
-        rows = rows[short[rows]]
-        if not len(rows):
-            continue
-        known: dict[int, np.ndarray] = {}
-        for start in range(low, n, BLOCK):
-            columns = np.arange(start, min(start + BLOCK, n))
-            # skip a block of sets that are too large, or that meet the sequence too late
-            if size[columns[0]] * threshold > size[rows[-1]] + 1e-9:
+class Lists:
+    """Rows of whole lists, each sorted by size; finds the pairs of their sets that may be near."""
+
+    def __init__(self, rows: dict[str, np.ndarray], threshold: float):
+        self.threshold = threshold
+        self.size, self.at, self.bits, self.part, self.crossing = (rows[c] for c in ("size", "at", "bits", "part", "crossing"))
+        self.left = self.size - self.at
+        # the smaller set of a pair shows a common sequence earlier than the larger one has to
+        self.early = self.at < self.size - np.ceil(2 * threshold / (1 + threshold) * self.size - 1e-9) + 1
+
+    def fitting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows, a before b, may reach the threshold by size, position and bitmap."""
+        sums = self.size[a] + self.size[b]
+        need = least_overlap(sums, self.threshold)
+        fits = self.early[a] & (self.size[a] >= self.threshold * self.size[b] - 1e-9) & (np.minimum(self.left[a], self.left[b]) >= need)
+        fits &= ~self.crossing[a] | (self.part[a] != self.part[b])
+        at = np.flatnonzero(fits)
+        apart = np.bitwise_count(self.bits[a[at]] ^ self.bits[b[at]]).sum(1, dtype=np.int64)
+        return at[apart <= sums[at] - 2 * need[at]]
+
+    def short(self, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of lists of at most SHORT rows: all rows with the next one, then with the one after that, and so on."""
+        out = []
+        rows = np.repeat(starts, ends - starts) + np.arange((ends - starts).sum()) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
+        end = np.repeat(ends, ends - starts)
+        for step in range(1, SHORT):
+            kept = rows + step < end
+            if not kept.any():
                 break
-            most = min(left[rows].max(), left[columns].max())
-            if most < least_overlap(int(size[rows[0]] + size[columns[0]]), threshold):
+            rows, end = rows[kept], end[kept]
+            good = self.fitting(rows, rows + step)
+            out.append((rows[good], rows[good] + step))
+        return out
+
+    def long(self, start: int, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of one list in blocks; those of sets too large, or that meet the sequence too late, are skipped as a whole."""
+        t, out = self.threshold, []
+        share, spare = t / (1 + t) * self.size, (1 - t) / (1 + t) * self.size
+        late = self.left - share + 1e-6  # a pair needs as many elements left in both sets as both sizes ask for
+        for low in range(start, end, BLOCK):
+            rows = np.arange(low, min(low + BLOCK, end))
+            rows = rows[self.early[rows]]
+            if not len(rows):
                 continue
-            sums = size[rows][:, None] + size[columns][None, :]
-            need = least_overlap(sums, threshold)
-            fits = (columns[None, :] > rows[:, None]) & (size[rows][:, None] >= threshold * size[columns][None, :] - 1e-9)
-            fits &= np.minimum(left[rows][:, None], left[columns][None, :]) >= need
-            if crossing:
-                fits &= part[rows][:, None] != part[columns][None, :]
-            if not fits.any():
-                continue
-            allowed = sums - 2 * need
-            for r in np.flatnonzero(leader[rows] != rows).tolist():
-                # a row whose leader's differences to these sets are known skips those that stay too far
-                head = int(leader[rows[r]])
-                away = int(np.bitwise_count(bits[rows[r]] ^ bits[head]).sum())
-                if away <= CLOSE and head < low + BLOCK and fits[r].any():
-                    key = head * n + start
-                    if key not in known:
-                        known[key] = np.bitwise_count(bits[columns] ^ bits[head]).sum(1, dtype=np.int64)
-                    fits[r] &= known[key] - away <= allowed[r]
-            a, b = np.nonzero(fits)
-            apart = np.bitwise_count(bits[rows[a]] ^ bits[columns[b]]).sum(1, dtype=np.int64)
-            good = apart <= allowed[a, b]
-            one.append(rows[a[good]])
-            two.append(columns[b[good]])
-    if not one:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(one), np.concatenate(two)
+            for first in range(low, end, BLOCK):
+                last = min(first + BLOCK, end)
+                if self.size[first] * t > self.size[rows[-1]] + 1e-9:
+                    break
+                if min(self.left[rows].max(), self.left[first:last].max()) < least_overlap(int(self.size[rows[0]] + self.size[first]), t):
+                    continue
+                fits = (late[rows][:, None] >= share[None, first:last]) & (late[None, first:last] >= share[rows][:, None])
+                if first < rows[-1]:
+                    fits &= np.arange(first, last)[None, :] > rows[:, None]
+                if self.crossing[start]:
+                    fits &= self.part[rows][:, None] != self.part[None, first:last]
+                if not fits.any():
+                    continue
+                apart = np.zeros(fits.shape, np.uint16)
+                for word in range(BITMAP):
+                    apart += np.bitwise_count(self.bits[rows, word][:, None] ^ self.bits[None, first:last, word])
+                a, b = np.nonzero(fits & (apart <= spare[rows][:, None] + spare[None, first:last] + 1e-6))
+                if len(a):
+                    a, b = rows[a], b + first
+                    good = self.fitting(a, b)
+                    out.append((a[good], b[good]))
+        return out
+
+
+CANDIDATE = "class_a long, class_b long, family long"
 
 
 def join_lists(threshold: float) -> Callable:
-    """Rows sorted by bucket, parts and token -> candidate pairs of classes."""
-
-    def one_list(rows: dict[str, np.ndarray], seen: set) -> None:
-        order = np.lexsort((rows["class_id"], rows["size"]))
-        ids = rows["class_id"][order]
-        a, b = list_pairs(rows["size"][order].astype(np.int64), rows["at"][order].astype(np.int64), rows["bits"][order], rows["family"][order], rows["part"][order], threshold)
-        seen.update((x, y) if x < y else (y, x) for x, y in zip(ids[a].tolist(), ids[b].tolist()) if x != y)
+    """Rows sorted by token, parts and size -> candidate pairs of classes, with the family of the first."""
+
+    def pairs(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch | None:
+        lists = Lists(rows, threshold)
+        many = ends - starts > 1
+        starts, ends = starts[many], ends[many]
+        short = ends - starts <= SHORT
+        found = lists.short(starts[short], ends[short])
+        for low, high in zip(starts[~short].tolist(), ends[~short].tolist()):
+            found += lists.long(low, high)
+        if not found:
+            return None
+        a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        one, two = rows["class_no"][a], rows["class_no"][b]
+        swap = one > two
+        family = np.where(swap, rows["family"][b], rows["family"][a])
+        one, two = np.where(swap, two, one), np.where(swap, one, two)
+        order = np.lexsort((two, one))
+        one, two, family = one[order], two[order], family[order]
+        new = one != two
+        new[1:] &= (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (one, two, family)], names=["class_a", "class_b", "family"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
-        seen: set = set()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("part_a", "part_b", "part", "token", "class_id", "size", "at", "family")}
+            now = {c: batch.column(c).to_numpy() for c in ("token", "part_a", "part_b", "part", "class_no", "family")}
+            now |= {c: batch.column(c).to_numpy().astype(np.int64) for c in ("size", "at")}
             now["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
+            now["crossing"] = now["part_a"] != now["part_b"]
             if held is not None:
                 now = {c: np.concatenate((held[c], now[c])) for c in now}
             new = np.ones(len(now["token"]), bool)
             new[1:] = (now["token"][1:] != now["token"][:-1]) | (now["part_a"][1:] != now["part_a"][:-1]) | (now["part_b"][1:] != now["part_b"][:-1])
             starts = np.flatnonzero(new)
-            for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if high - low > 1:
-                    one_list({c: v[low:high] for c, v in now.items()}, seen)
+            if len(starts) > 1 and (made := pairs(now, starts[:-1], starts[1:])) is not None:
+                yield made
             held = {c: v[starts[-1] :] for c, v in now.items()}
-            if len(seen) > 50_000:
-                yield _pairs(seen)
-                seen = set()
-        if held is not None and len(held["token"]) > 1:
-            one_list(held, seen)
-        yield _pairs(seen)
+        if held is not None and (made := pairs(held, np.zeros(1, np.int64), np.array([len(held["token"])]))) is not None:
+            yield made
 
     return run
 
 
-def _pairs(seen: set) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in seen], pa.string()), pa.array([b for _, b in seen], pa.string())], names=["class_a", "class_b"])
-
-
-def verify(threshold: float) -> Callable:
-    """class_a, class_b, text_a, text_b -> the pairs at or above the threshold, with their similarity."""
+def letters_of(tokens: np.ndarray) -> list[str]:
+    """The packed sequences as text."""
+    return [chr(x >> 42) + chr(x >> 21 & 0x1FFFFF) + chr(x & 0x1FFFFF) for x in tokens.tolist()]
+
+
+class Answers:
+    """Overlaps of the sets of one family with their candidates, those of later sets derived from those of the first."""
+
+    def __init__(self, threshold: float, reuse: bool):
+        self.threshold, self.reuse = threshold, reuse
+        self.family: int | None = None
+        self.first: np.ndarray | None = None
+        self.known: dict[int, tuple[int, int]] = {}  # candidate -> overlap with the first set, size
+        self.derived = self.in_full = 0
+
+    def start(self, family: int, text: str) -> None:
+        """The next set; those of a family come in turn."""
+        if family != self.family:
+            self.family, self.first, self.known = family, None, {}
+        self.text, self.tokens = text, None
+
+    def _open(self) -> None:
+        self.tokens = sequences(self.text)
+        self.gained: list[str] | None = None
+        self.leads = self.first is None
+        if self.leads:
+            self.first = self.tokens
+        elif self.reuse:
+            gained, lost = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((self.tokens, self.first), (self.first, self.tokens)))
+            if len(gained) + len(lost) <= CLOSE:
+                self.gained, self.lost = letters_of(gained), letters_of(lost)
+
+    def similarity(self, other: int, text: str) -> float | None:
+        """Of the set to a candidate, None below the threshold."""
+        if self.tokens is None:
+            self._open()
+        mine = len(self.tokens)
+        if self.gained is not None and other in self.known:
+            common, size = self.known[other]
+            self.derived += 1
+            if common + len(self.gained) < least_overlap(mine + size, self.threshold):
+                return None
+            common += sum(x in text for x in self.gained) - sum(x in text for x in self.lost)
+        else:
+            tokens = sequences(text)
+            common, size = len(np.intersect1d(self.tokens, tokens, assume_unique=True)), len(tokens)
+            self.in_full += 1
+            if self.leads:
+                self.known[other] = common, size
+        share = common / (mine + size - common)
+        return share if share >= self.threshold else None
+
+
+def verify(threshold: float, reuse: bool) -> Callable:
+    """Rows sorted by family, class_a and class_b, first (class_b null) the text of class_a, then those of its candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, np.ndarray] = {}
+        answers = Answers(threshold, reuse)
         for batch in batches:
-            a, b, shares = [], [], []
-            for one, two, x, y in zip(*(batch.column(c).to_pylist() for c in ("class_a", "class_b", "text_a", "text_b"))):
-                if one not in kept:
-                    kept = {one: sequences(x)}  # pairs come sorted by class_a
-                s, t = kept[one], sequences(y)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                share = common / (len(s) + len(t) - common)
-                if share >= threshold:
-                    a.append(one)
-                    b.append(two)
-                    shares.append(share)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(shares, pa.float64())], names=["class_a", "class_b", "similarity"])
+            found = []
+            for family, one, two, text in zip(*(batch.column(c).to_pylist() for c in ("family", "class_a", "class_b", "text"))):
+                if two is None:
+                    answers.start(family, text)
+                elif (share := answers.similarity(two, text)) is not None:
+                    found.append((one, two, share))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["class_a", "class_b", "similarity"])
 
     return run
 
 
 def members(records: DataFrame) -> DataFrame:
-    """records: rec_key, text -> rec_key, class_id, text (as compared) of those that take part."""
-    made = records.where(F.length("text") * 18 >= MIN_LENGTH).select("rec_key", "text").mapInArrow(normalise, "rec_key string, text string")
-    return cut_lineage(made.select("rec_key", F.sha2("text", 256).alias("class_id"), "text").distinct())
+    """records: rec_key, text -> rec_key, class_id, text (as compared), family of those that take part; a row for each row."""
+    made = records.where(F.length("text") * 18 >= MIN_LENGTH).select("rec_key", "text").mapInArrow(normalise, "rec_key string, text string, family long")
+    return cut_lineage(made.select("rec_key", F.sha2("text", 256).alias("class_id"), "text", "family"))
+
+
+def classes_of(of: DataFrame) -> DataFrame:
+    """class_no (numbers in no order), class_id, text, family of each class."""
+    return cut_lineage(of.groupBy("class_id").agg(F.first("text").alias("text"), F.first("family").alias("family")).withColumn("class_no", F.monotonically_increasing_id()))
 
 
-def class_links(of: DataFrame, threshold: float = THRESHOLD, buckets: int = 64, hot: int = HOT) -> DataFrame:
+def numbered_links(classes: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, reuse: bool = True) -> DataFrame:
+    """Pairs of different classes at or above the threshold, by number: class_a < class_b, similarity."""
+    sketch = classes.sparkSession.sparkContext.broadcast(count_sketch(classes))
+    lists = classes.select("class_no", "text", "family").mapInArrow(postings(lambda: sketch.value, threshold, hot), POSTING)
+    keys = ("token", "part_a", "part_b")
+    grouped = lists.repartition(*keys).sortWithinPartitions(*keys, "size", "class_no")
+    candidates = grouped.mapInArrow(join_lists(threshold), CANDIDATE).distinct()
+    texts = classes.select(F.col("class_no").alias("class_b"), "text")
+    asked = candidates.join(texts, "class_b").select("family", "class_a", "class_b", "text")
+    own = classes.select("family", F.col("class_no").alias("class_a"), F.lit(None).cast("long").alias("class_b"), "text")
+    by_family = own.unionByName(asked).repartitionByRange("family", "class_a").sortWithinPartitions("family", "class_a", "class_b")
+    return by_family.mapInArrow(verify(threshold, reuse), "class_a long, class_b long, similarity double")
+
+
+def class_links(of: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, reuse: bool = True) -> DataFrame:
     """Pairs of different classes at or above the threshold: class_a < class_b, similarity."""
-    spark = of.sparkSession
-    classes = of.groupBy("class_id").agg(F.first("text").alias("text"))
-    sketch = spark.sparkContext.broadcast(count_sketch(classes))
-    lists = classes.mapInArrow(postings(lambda: sketch.value, buckets, threshold, hot), POSTING)
-    grouped = lists.repartition("bucket", "part_a", "part_b").sortWithinPartitions("bucket", "part_a", "part_b", "token")
-    candidates = grouped.mapInArrow(join_lists(threshold), "class_a string, class_b string").distinct()
-    left = classes.select(F.col("class_id").alias("class_a"), F.col("text").alias("text_a"))
-    right = classes.select(F.col("class_id").alias("class_b"), F.col("text").alias("text_b"))
-    return candidates.join(right, "class_b").join(left, "class_a").mapInArrow(verify(threshold), "class_a string, class_b string, similarity double")
+    classes = classes_of(of)
+    links = numbered_links(classes, threshold, hot, reuse)
+    ids = classes.select("class_no", "class_id")
+    named = links.join(ids.toDF("class_a", "x"), "class_a").join(ids.toDF("class_b", "y"), "class_b")
+    return named.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), "similarity")
 
 
 def near_duplicates(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of records at or above the threshold, copies too: rec_a < rec_b."""
+    """Pairs of records at or above the threshold, copies too: rec_a < rec_b.
+
+    The pairs of a text with very many copies are made by as many keys as it has COPIES of them.
+    """
     of = members(records)
-    links = class_links(of, threshold)
-    slim = of.select("rec_key", "class_id")
+    classes = classes_of(of)
+    links = numbered_links(classes, threshold)
+    slim = of.select("rec_key", "class_id").distinct().join(classes.select("class_id", "class_no"), "class_id").select("rec_key", "class_no")
     a, b = slim.toDF("rec_x", "class_a"), slim.toDF("rec_y", "class_b")
     across = links.join(a, "class_a").join(b, "class_b").select("rec_x", "rec_y")
-    copies = a.join(b.withColumnRenamed("class_b", "class_a"), "class_a").where("rec_x < rec_y").select("rec_x", "rec_y")
+    parts = slim.groupBy("class_no").agg(F.count("*").alias("n")).where("n > 1").select("class_no", F.ceil(F.col("n") / COPIES).cast("int").alias("parts"))
+    repeated = slim.join(parts, "class_no")
+    one = repeated.select("class_no", F.col("rec_key").alias("rec_x"), F.pmod(F.xxhash64("rec_key"), F.col("parts")).cast("int").alias("salt"))
+    two = repeated.select("class_no", F.col("rec_key").alias("rec_y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    copies = one.join(two, ["class_no", "salt"]).where("rec_x < rec_y").select("rec_x", "rec_y")
     return across.unionByName(copies).select(F.least("rec_x", "rec_y").alias("rec_a"), F.greatest("rec_x", "rec_y").alias("rec_b"))
 
 
 def near_duplicate_classes(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every record that takes part: rec_key, class_id, n_copies (records of its class), n_links (other classes it is near to)."""
     of = members(records)
-    links = class_links(of, threshold)
-    ends = links.select(F.col("class_a").alias("c")).unionByName(links.select(F.col("class_b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
-    sizes = of.groupBy("class_id").agg(F.count("*").alias("n_copies"))
-    joined = of.select("rec_key", "class_id").join(sizes, "class_id").join(ends.withColumnRenamed("c", "class_id"), "class_id", "left")
-    return joined.select("rec_key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = classes_of(of)
+    links = numbered_links(classes, threshold)
+    ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_no")).groupBy("class_no").agg(F.count("*").alias("n_links"))
+    slim = of.select("rec_key", "class_id").distinct()
+    sizes = slim.groupBy("class_id").agg(F.count("*").alias("n_copies"))
+    facts = classes.select("class_id", "class_no").join(ends, "class_no", "left").join(sizes, "class_id")
+    return slim.join(facts, "class_id").select("rec_key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from cuelattice.llm import neardup as N
 
 WORDS = [f"{a}{b}{c}" for a in ("bra", "kel", "vom") for b in ("to", "mi", "lu", "sa") for c in ("n", "rk", "d", "x")]
@@ -40,7 +42,43 @@ def test_hot_lists_are_cut_without_loss(spark):
     rows = [(f"r{i:03d}", t) for i, t in enumerate(texts(9))]
     of = N.members(spark.createDataFrame(rows, "rec_key string, text string"))
     whole = {tuple(r)[:2] for r in N.class_links(of).collect()}
-    assert whole and {tuple(r)[:2] for r in N.class_links(of, hot=7, buckets=3).collect()} == whole
+    assert whole and {tuple(r)[:2] for r in N.class_links(of, hot=7).collect()} == whole
+
+
+def test_answers_derived_from_a_similar_set_are_the_same(spark):
+    rows = [(f"r{i:03d}", t) for i, t in enumerate(texts(5, 90))]
+    of = N.members(spark.createDataFrame(rows, "rec_key string, text string"))
+    with_reuse, without = ({tuple(r) for r in N.class_links(of, reuse=x).collect()} for x in (True, False))
+    assert with_reuse == without and with_reuse
+    base = " ".join(random.Random(1).choice(WORDS) for _ in range(40))
+    close = [base.replace(w, w[:-1] + "q", 1) for w in base.split()[:12]]
+    answers, plain = N.Answers(0.6, True), N.Answers(0.6, False)
+    for text in [base, *close]:
+        for each in (answers, plain):
+            each.start(7, N.compared(text))
+        for k, other in enumerate(close + [" ".join(reversed(base.split())), "x" * 99]):
+            assert answers.similarity(k, N.compared(other)) == plain.similarity(k, N.compared(other))
+    assert answers.derived > 0.8 * plain.in_full and plain.derived == 0
+
+
+def test_short_and_long_lists_find_the_same(spark, monkeypatch):
+    rows = [(f"r{i:03d}", t) for i, t in enumerate(texts(11, 80))]
+    of = N.members(spark.createDataFrame(rows, "rec_key string, text string"))
+    whole = {tuple(r)[:2] for r in N.class_links(of).collect()}
+    rng = np.random.default_rng(3)
+    n = 300
+    size = np.sort(rng.integers(80, 130, n))
+    lists = N.Lists({"size": size, "at": rng.integers(0, 30, n), "bits": rng.integers(0, 1 << 62, (n, N.BITMAP)).astype(np.uint64) & np.uint64(0x1111), "part": rng.integers(0, 2, n), "crossing": np.zeros(n, bool)}, 0.6)
+    monkeypatch.setattr(N, "SHORT", n + 1)
+    pairs = lambda found: {(int(a), int(b)) for x, y in found for a, b in zip(x, y)}
+    assert pairs(lists.short(np.array([0]), np.array([n]))) == pairs(lists.long(0, n)) and whole
+
+
+def test_copies_are_paired_whole(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 4)
+    rows = [(f"r{i:02d}", "the same long text of a screen " * 4) for i in range(23)]
+    got = [tuple(r) for r in N.near_duplicates(spark.createDataFrame(rows, "rec_key string, text string")).collect()]
+    assert len(got) == len(set(got)) == 23 * 22 // 2 and all(a < b for a, b in got)
 
 
 def test_compared_form_and_odd_rows(spark):

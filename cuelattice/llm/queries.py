@@ -87,11 +87,12 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of letters in common, and paraphrases."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), paraphrases=False).select("doc_id", "item_id").distinct()
 
 
 def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

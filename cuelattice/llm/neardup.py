@@ -11,8 +11,8 @@ is compared in full, and its overlaps are kept. Those of a highly similar set fo
 the sequences in which the two differ are looked for, and a bound on their number skips most.
 
 Lists of sequences that more than HOT sets hold are cut into parts, and each pair of parts meets
-in a task of its own, so no link is lost and no task holds a hot list. Families are cut where the
-range of a task ends.
+in a task of its own, so no link is lost and no task holds a hot list. Families of more than HOT
+sets are cut into parts too.
 
 Defined results: null texts and texts below MIN_LENGTH compared characters take no part; a record
 with repeated rows counts once; texts of any length are compared whole.
@@ -92,24 +92,52 @@ def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["rec_key", "text", "family"])
 
 
+def family_cells(family: np.ndarray) -> np.ndarray:
+    return SKETCH + (mix(family.view(np.uint64)) & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
 def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SKETCH, np.int64)
+    total = np.zeros(2 * SKETCH, np.int64)
     for batch in batches:
         hashed = [mix(sequences(text)) for text in batch.column("text").to_pylist()]
         if hashed:
-            total += np.bincount((np.concatenate(hashed) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            total += np.bincount((np.concatenate(hashed) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=2 * SKETCH)
+            total += np.bincount(family_cells(batch.column("family").to_numpy()), minlength=2 * SKETCH)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["cell", "n"])
 
 
 def count_sketch(texts: DataFrame) -> np.ndarray:
-    """How many sets hold a sequence of each cell; SKETCH numbers, however many texts."""
-    rows = texts.select("text").mapInArrow(count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    sketch = np.zeros(SKETCH, np.uint32)
+    """How many sets hold a sequence of each cell, then how many are of a family of each; 2 * SKETCH numbers, however many texts."""
+    rows = texts.select("text", "family").mapInArrow(count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(2 * SKETCH, np.uint32)
     sketch[rows.column("cell").to_numpy()] = np.minimum(rows.column("n").to_numpy(), np.iinfo(np.uint32).max)
     return sketch
 
 
+def part_of(number: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The part of a class where something hot is cut into parts."""
+    return (mix(number.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def smaller_families(family: np.ndarray, number: np.ndarray, sketch: np.ndarray, hot: int) -> np.ndarray:
+    """Families of about hot sets at most: larger ones are cut by the number of the class."""
+    parts = np.maximum(1, -(-sketch[family_cells(family)].astype(np.int64) // hot))
+    cut = mix(family.view(np.uint64) + part_of(number, parts).astype(np.uint64)).view(np.int64)
+    return np.where(parts > 1, cut, family)
+
+
+def cut_families(load: Callable[[], np.ndarray], hot: int) -> Callable:
+    """family, class_a, class_b, text -> the same with smaller families."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            family = smaller_families(batch.column("family").to_numpy(), batch.column("class_a").to_numpy(), load(), hot)
+            yield pa.RecordBatch.from_arrays([pa.array(family), *batch.columns[1:]], names=batch.schema.names)
+
+    return run
+
+
 POSTING = "token long, part_a int, part_b int, part int, class_no long, size int, at int, family long, bits binary"
 
 
@@ -120,6 +148,7 @@ def postings(load: Callable[[], np.ndarray], threshold: float, hot: int) -> Call
         sketch = load()
         for batch in batches:
             number = batch.column("class_no").to_numpy()
+            family = pa.array(smaller_families(batch.column("family").to_numpy(), number, sketch, hot))
             sizes, bits, row, token, at, held = [], [], [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 tokens = sequences(text)
@@ -140,11 +169,11 @@ def postings(load: Callable[[], np.ndarray], threshold: float, hot: int) -> Call
             # a hot sequence is written once for each part that the set's own part has to meet
             wide = np.repeat(np.arange(len(row)), parts)
             other = np.arange(len(wide)) - np.repeat(np.cumsum(parts) - parts, parts)
-            mine = (mix(number.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)[row[wide]] % parts[wide]
+            mine = part_of(number[row[wide]], parts[wide])
             of = pa.array(row[wide])
             columns = [
                 pa.array(token[wide]), pa.array(np.minimum(mine, other).astype(np.int32)), pa.array(np.maximum(mine, other).astype(np.int32)), pa.array(mine.astype(np.int32)),
-                pa.array(number[row[wide]]), pa.array(sizes, pa.int32()).take(of), pa.array(at[wide].astype(np.int32)), batch.column("family").take(of), pa.array(bits, pa.binary()).take(of),
+                pa.array(number[row[wide]]), pa.array(sizes, pa.int32()).take(of), pa.array(at[wide].astype(np.int32)), family.take(of), pa.array(bits, pa.binary()).take(of),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in POSTING.split(", ")])
 
@@ -360,7 +389,8 @@ def numbered_links(classes: DataFrame, threshold: float = THRESHOLD, hot: int =
     texts = classes.select(F.col("class_no").alias("class_b"), "text")
     asked = candidates.join(texts, "class_b").select("family", "class_a", "class_b", "text")
     own = classes.select("family", F.col("class_no").alias("class_a"), F.lit(None).cast("long").alias("class_b"), "text")
-    by_family = own.unionByName(asked).repartitionByRange("family", "class_a").sortWithinPartitions("family", "class_a", "class_b")
+    own = own.mapInArrow(cut_families(lambda: sketch.value, hot), "family long, class_a long, class_b long, text string")
+    by_family = own.unionByName(asked).repartition("family").sortWithinPartitions("family", "class_a", "class_b")
     return by_family.mapInArrow(verify(threshold, reuse), "class_a long, class_b long, similarity double")
 
 

@@ -411,7 +411,7 @@ def near_duplicates(records: DataFrame, threshold: float = THRESHOLD) -> DataFra
     of = members(records)
     classes = classes_of(of)
     links = numbered_links(classes, threshold)
-    slim = of.select("rec_key", "class_id").distinct().join(classes.select("class_id", "class_no"), "class_id").select("rec_key", "class_no")
+    slim = cut_lineage(of.select("rec_key", "class_id").distinct().join(classes.select("class_id", "class_no"), "class_id").select("rec_key", "class_no"))
     a, b = slim.toDF("rec_x", "class_a"), slim.toDF("rec_y", "class_b")
     across = links.join(a, "class_a").join(b, "class_b").select("rec_x", "rec_y")
     parts = slim.groupBy("class_no").agg(F.count("*").alias("n")).where("n > 1").select("class_no", F.ceil(F.col("n") / COPIES).cast("int").alias("parts"))

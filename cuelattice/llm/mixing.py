@@ -19,18 +19,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuelattice.session import cut_lineage, spread
 
-#: A public tokenizer's ranks, and the pattern that splits text before its merges.
+#: The setting that names a public tokenizer's ranks, their place unless it is set, and the pattern that splits text before its merges.
+TOKENIZER_SETTING = "spark.cuelattice.tokenizer"
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF, FAN = 4096, 64
@@ -47,18 +51,28 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _encodings[path]
 
 
-def token_count(text: Column, path: str = TOKENIZER) -> Column:
+def shipped(spark: SparkSession, path: str | None) -> str:
+    """Name under which every executor gets the tokenizer's file from the driver."""
+    found = path or spark.conf.get(TOKENIZER_SETTING, None) or TOKENIZER
+    spark.sparkContext.addFile(found)
+    return os.path.basename(found)
+
+
+def token_count(text: Column, name: str) -> Column:
+    """name: what shipped returns."""
+
     @F.arrow_udf(T.LongType())
     def count(arr: pa.Array) -> pa.Array:
-        made = encoding(path)
+        made = encoding(SparkFiles.get(name))
         return pa.array([len(made.encode_ordinary(x)) if x else 0 for x in arr.to_pylist()], pa.int64())
 
     return count(text)
 
 
-def sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def sizes(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens of every document; a repeated doc_id counts once, a null one not at all."""
-    sized = spread(documents.select("doc_id", "source", "text").where(F.col("doc_id").isNotNull())).select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("source", token_count(F.col("text"), path).alias("n_tokens")).alias("d"))
+    name = shipped(documents.sparkSession, path)
+    sized = spread(documents.select("doc_id", "source", "text").where(F.col("doc_id").isNotNull())).select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("source", token_count(F.col("text"), name).alias("n_tokens")).alias("d"))
     return sized.groupBy("doc_id").agg(F.max("d").alias("d")).select("doc_id", "d.source", "d.n_tokens")
 
 
@@ -139,7 +153,7 @@ def round_node(level: int, last: bool):
     return run
 
 
-def copies(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def copies(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
     """Every document of a targeted source: doc_id, source, n_tokens, copies."""
     sized = cut_lineage(sizes(documents, path))
     plan = quotas(sized, targets)
@@ -162,7 +176,7 @@ def copies(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> D
     return whole.select("doc_id", "source", "n_tokens", (F.col("base") + F.coalesce("extra", F.lit(0))).cast("int").alias("copies"))
 
 
-def shares(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
     """Per target: documents, tokens, how much of the mix comes from it, and the most copies of a document."""
     used = copies(documents, targets, path).groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"),
@@ -170,6 +184,6 @@ def shares(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> D
     )
     counts = ["n_docs", "tokens", "tokens_used", "most_copies", "docs_used"]
     rows = wanted(targets).join(used, "source", "left").na.fill(0, counts)
-    total = used.agg(F.sum("tokens_used")).first()[0] or 0
-    share = F.coalesce(F.try_divide(F.col("tokens_used"), F.lit(total)), F.lit(0.0))
+    # targets are few, so their total is a window over all of them
+    share = F.coalesce(F.try_divide(F.col("tokens_used"), F.sum("tokens_used").over(W.partitionBy(F.lit(0)))), F.lit(0.0))
     return rows.select("source", "target_share", "max_repeats", *counts, share.alias("share"))

@@ -35,7 +35,8 @@ CYRILLIC_GREEK = {
     "А": "Α", "В": "Β", "Е": "Ε", "Н": "Η", "І": "Ι", "К": "Κ", "М": "Μ", "О": "Ο", "Р": "Ρ", "Т": "Τ",
     "Х": "Χ", "о": "ο",
 }
-# Cyrillic letters that Russian does not have; in these texts they only stand for Latin ones.
+# Cyrillic letters that Russian does not have. Beside Cyrillic words they are those of another language;
+# only a word of look-alikes with one of them, in a text that proves no script, is taken for a Latin one.
 CYRILLIC_ALIEN = "ІЈЅіјѕԁһӏԛԝїЇ"
 # Radical forms without a decomposition of their own and the Han characters they stand for.
 RADICALS = {
@@ -312,7 +313,8 @@ def _own_script(cps: np.ndarray, rows: np.ndarray, n_rows: int, t: dict) -> np.n
     row_own = np.where(row_proof.max(0) > 0, row_proof.argmax(0) + 1, 0)[sub_rows[heads]]
     kinds = np.stack(total) > 0
     single = np.where(kinds.sum(0) == 1, kinds.argmax(0) + 1, 0)
-    keeps = (single > 0) & ~alien & ((single == before) | (single == after) | ((before == 0) & (after == 0) & (row_own == 0)))
+    alone = (before == 0) & (after == 0)
+    keeps = (single > 0) & ((single == before) | (single == after) | (alone & (row_own == 0) & ~alien) | (alone & (row_own == single)))
     # single letters are labels ("p. 12", "rev. B") where a full stop follows or joins them to a word of their script
     lone = (np.bincount(w, minlength=words) == 1) & (single > 0) & ~alien
     dot = sub == 0x2E
@@ -321,7 +323,6 @@ def _own_script(cps: np.ndarray, rows: np.ndarray, n_rows: int, t: dict) -> np.n
     dotted = np.append(dot[1:] & (sub_rows[1:] == sub_rows[:-1]), False)[heads]
     keeps |= lone & (dotted | (single == wide_before) | (single == wide_after))
     near = np.where(before > 0, before, np.where(after > 0, after, row_own))
-    near = np.where((near == CYRILLIC) & alien, LATIN, near)
     own = np.where(own > 0, own, np.where(keeps, single, np.where(near > 0, near, LATIN)))
     target = own[w]
     old = sub[inside]

@@ -7,6 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import pytest
+
 from cuelattice.llm.plainform import plain_array, plain_form, plain_list
 
 PAIRS = {
@@ -46,3 +48,12 @@ def test_nulls_slices_and_long_texts(spark):
     rows = spark.createDataFrame([(1, "ﬁ"), (2, None)], "id int, text string")
     assert [r[0] for r in rows.orderBy("id").select(plain_form(F.col("text"))).collect()] == ["fi", None]
     assert rows.limit(0).select(plain_form(F.col("text"))).count() == 0
+
+
+@pytest.mark.parametrize("text", ["їжак і ліс", "Тато і мама", "Я і ти", "Він сказав: «Її немає»", "І знову дощ — і вітер", "Україна (Kyiv) і Львів", "Јован и Јелена су овде", "Ја сам у соби. Она је ту.", "Ѕвезда и ѕид", "Іван ідзе ў лес і спявае", "Мен үйдемін және һәм"])
+def test_other_cyrillic_languages_keep_their_letters(text):
+    assert plain_list([text]) == [text]
+
+
+def test_look_alikes_that_russian_lacks_stand_for_latin_letters():
+    assert plain_list(["sіster and mom", "ѕіх", "The ѕіх keys", "Her ѕister Іnes"]) == ["sister and mom", "six", "The six keys", "Her sister Ines"]

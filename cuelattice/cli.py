@@ -6,7 +6,7 @@ import argparse
 import sys
 
 from cuelattice.config import ORDERS, POSITIONS, RECOGNISERS, SERVER_BACKENDS, Settings
-from cuelattice.manifest import ALIASES, STAGES
+from cuelattice.journal import ALIASES, STAGES
 
 #: Flag -> field and options of each setting that can be given.
 FLAGS: dict[str, tuple[str, dict]] = {
@@ -44,7 +44,7 @@ def settings_of(args: argparse.Namespace) -> Settings:
 
 
 def main(argv: list[str] | None = None) -> int:
-    """0 when all went well, 1 for a failure, 130 when interrupted."""
+    """0 when all inputs went well, 1 for a failure of any or all, 130 when interrupted."""
     made = parser()
     args = made.parse_args(argv)
     if args.stage and (args.from_stage or args.to_stage):
@@ -56,17 +56,27 @@ def main(argv: list[str] | None = None) -> int:
     settings = settings_of(args)
     try:
         media.check_tools()
+        if settings.audio_transcribe:
+            media.make_transcriber(settings)
         spark = get_session()
         inputs = media.input_paths(spark, args.inputs)
         model = chat.first_model(settings.llm_cache_url, settings.llm_model)
-        run = Pipeline(spark, settings, settings.work_dir, inputs, model=model, make_chat=lambda: chat.ChatClient(settings.llm_cache_url, model))
-        run.run(args.stage, args.from_stage, args.to_stage)
+        make_chat = lambda: chat.ChatClient(settings.llm_cache_url, model)
+        run = Pipeline(spark, settings, settings.work_dir, inputs, model=model, make_chat=make_chat, fingerprint=media.fingerprint(settings), log=print, beside_inputs=True)
+        return report(run.run(args.stage, args.from_stage, args.to_stage)["outcome"])
     except KeyboardInterrupt:
         return 130
     except Exception as error:  # noqa: BLE001 - a command reports and fails
         print(f"failed: {error}", file=sys.stderr)
         return 1
-    return 0
+
+
+def report(outcome: dict) -> int:
+    """Show how many inputs came through and why others did not; the exit code."""
+    print(f"{outcome['succeeded']} of {outcome['inputs']} inputs done")
+    for row in outcome["failed"]:
+        print(f"failed: input {row['video_id']}: {row['error']}", file=sys.stderr)
+    return 1 if outcome["failed"] else 0
 
 
 if __name__ == "__main__":

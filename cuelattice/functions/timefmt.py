@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,17 +37,16 @@ def ass_escape(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "{}", "()"), r"\r\n|\n|\r", r"\\N")
 
 
+COLOR = re.compile(r"\s*(?:#(?P<r>.{2})(?P<g>.{2})(?P<b>.{2})|&h(?P<own>.*?)|(?P<name>\w+))\s*", re.IGNORECASE | re.DOTALL)
+
+
 def ass_color(value: str | None) -> str:
     """A colour name, #RRGGBB or &H value as the format writes it; white for anything else."""
-    text = (value or "").strip()
-    low = text.lower()
-    if low in COLORS:
-        return COLORS[low]
-    if low.startswith("&h"):
-        return "&H" + text[2:].upper()
-    if len(text) == 7 and text[0] == "#":
-        return f"&H00{text[5:7]}{text[3:5]}{text[1:3]}".upper()
-    return WHITE
+    found = COLOR.fullmatch(value or "")
+    of = found.groupdict() if found else {}
+    if of.get("r"):
+        return f"&H00{of['b']}{of['g']}{of['r']}".upper()
+    return COLORS.get((of.get("name") or "").lower(), WHITE) if of.get("own") is None else f"&H{of['own'].upper()}"
 
 
 def scaled(size: Column, share: float, least: int) -> Column:

@@ -42,8 +42,13 @@ def srt_blocks(events: DataFrame, bilingual: bool = False) -> DataFrame:
     return rows.select("video_id", "n", block.alias("block"))
 
 
+def srt_lines(events: DataFrame, bilingual: bool = False) -> DataFrame:
+    """video_id, n, part, line: what a file holds, in pieces that follow each other by n and part."""
+    return srt_blocks(events, bilingual).select("video_id", "n", F.lit(0).alias("part"), F.concat("block", F.lit("\n")).alias("line"))
+
+
 def srt_documents(events: DataFrame, bilingual: bool = False) -> DataFrame:
-    """video_id, document: a file a video; a video that shows nothing has none."""
+    """video_id, document: a file a video; a video that shows nothing has none. For videos whose text fits one value."""
     listed = F.sort_array(F.collect_list(F.struct("n", "block")))
     return srt_blocks(events, bilingual).groupBy("video_id").agg(F.concat(F.array_join(listed["block"], "\n"), F.lit("\n")).alias("document"))
 
@@ -83,12 +88,23 @@ def ass_headers(videos: DataFrame, settings: Settings = Settings()) -> DataFrame
     return videos.select("video_id", header.alias("header"))
 
 
-def ass_documents(events: DataFrame, videos: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """video_id, document for every video that has events."""
+def _headers(events: DataFrame, videos: DataFrame, settings: Settings) -> DataFrame:
+    """video_id, header of every video that has events."""
     speech = events.groupBy("video_id").agg(F.coalesce(F.bool_or(F.col("source") == "audio"), F.lit(False)).alias("has_speech"))
     sizes = videos.groupBy("video_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    headers = ass_headers(speech.join(sizes, "video_id", "left"), settings)
+    return ass_headers(speech.join(sizes, "video_id", "left"), settings)
+
+
+def ass_lines(events: DataFrame, videos: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """video_id, n, part, line: what a file holds, the header as number 0."""
+    heads = _headers(events, videos, settings).select("video_id", F.lit(0).alias("n"), F.lit(0).alias("part"), F.col("header").alias("line"))
+    lines = ass_dialogues(events, settings.bilingual, settings.max_lines)
+    return heads.unionByName(lines.select("video_id", "n", "part", F.concat("dialogue", F.lit("\n")).alias("line")))
+
+
+def ass_documents(events: DataFrame, videos: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """video_id, document for every video that has events; for videos whose text fits one value."""
     lines = ass_dialogues(events, settings.bilingual, settings.max_lines).groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("n", "part", "dialogue"))).alias("d"))
-    joined = headers.join(lines, "video_id", "left")
+    joined = _headers(events, videos, settings).join(lines, "video_id", "left")
     body = F.coalesce(F.concat(F.array_join(F.col("d")["dialogue"], "\n"), F.lit("\n")), F.lit(""))
     return joined.select("video_id", F.concat("header", body).alias("document"))

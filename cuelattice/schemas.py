@@ -16,6 +16,6 @@ TRACK = (
     "confidence double, sample_indices array<int>, observation_count int"
 )
 SEGMENT = "video_id long, seg_no int, start_s double, end_s double, text string"
-TRANSLATION = "canonical_key string, translated_lines array<string>, failed array<int>"
+TRANSLATION = "canonical_key string, translated_lines array<string>, failed array<int>, hits int, misses int"
 EVENT = "video_id long, start_s double, end_s double, source_lines array<string>, translated_lines array<string>, bboxes array<array<double>>, source string"
 CACHE = "cache_key string, normalized string, raw string, created_at timestamp, hit_count long"

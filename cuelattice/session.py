@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,10 +76,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cuts(spark: SparkSession) -> int:
-    """Delete the tables of all cuts so far; how many they were. DataFrames that read them can no longer be computed."""
-    paths = _cuts.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
+def drop_cuts(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the tables of the cuts so far, but for the first keep; how many they were. DataFrames that read them can no longer be computed."""
+    paths = _cuts.get(spark.sparkContext.applicationId, [])
+    dropped = paths[keep:]
+    del paths[keep:]
+    for path in dropped:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return len(paths)
+    return len(dropped)
+
+
+@contextmanager
+def dropping_cuts(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables of the cuts made inside, at its end; what was cut before stays."""
+    before = len(_cuts.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        drop_cuts(spark, before)

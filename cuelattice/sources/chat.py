@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import sqlite3
 import threading
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, MutableMapping
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from cuelattice.functions.keys import request_key
@@ -87,26 +88,89 @@ def first_model(base_url: str, named: str | None = None, attempts: int = 3, send
     raise ChatError(why or f"status {status}")
 
 
+class Answers(MutableMapping):
+    """Answers by key in a database file, for any number of threads; they outlast the process."""
+
+    def __init__(self, path: str):
+        self.lock, self.db = threading.Lock(), sqlite3.connect(path, check_same_thread=False)
+        with self.lock, self.db:
+            self.db.execute("create table if not exists answers (key text primary key, answer text not null, created_at text default current_timestamp)")
+
+    def __getitem__(self, key: str) -> dict:
+        with self.lock:
+            found = self.db.execute("select answer from answers where key = ?", (key,)).fetchone()
+        if found is None:
+            raise KeyError(key)
+        return json.loads(found[0])
+
+    def __setitem__(self, key: str, answer: dict) -> None:
+        with self.lock, self.db:
+            self.db.execute("insert into answers (key, answer) values (?, ?) on conflict (key) do update set answer = excluded.answer", (key, json.dumps(answer, ensure_ascii=False)))
+
+    def __delitem__(self, key: str) -> None:
+        with self.lock, self.db:
+            self.db.execute("delete from answers where key = ?", (key,))
+
+    def __iter__(self) -> Iterator[str]:
+        with self.lock:
+            return iter([k for (k,) in self.db.execute("select key from answers order by key")])
+
+    def __len__(self) -> int:
+        with self.lock:
+            return self.db.execute("select count(*) from answers").fetchone()[0]
+
+    def close(self) -> None:
+        self.db.close()
+
+    def __enter__(self) -> Answers:
+        return self
+
+    def __exit__(self, *why: object) -> None:
+        self.close()
+
+
+class Upstream:
+    """A model server; what is asked of it is never streamed."""
+
+    def __init__(self, base_url: str, key: str | None = None, send: Callable[..., Response] = http_json):
+        self.url, self.send = base_url.rstrip("/"), send
+        self.headers = {"Authorization": f"Bearer {key}"} if key else {}
+
+    def __call__(self, body: dict) -> Response:
+        return self.send(f"{self.url}/v1/chat/completions", body | {"stream": False}, self.headers)
+
+    def models(self) -> Response:
+        return self.send(f"{self.url}/v1/models", None, self.headers)
+
+
 class Proxy:
     """Answers chat requests from a store where it has them, else from upstream; errors are passed on and not stored."""
 
-    def __init__(self, upstream: Callable[[dict], Response], store: dict | None = None, models: Callable[[], Response] | None = None, default_model: str | None = None):
+    def __init__(
+        self, upstream: Callable[[dict], Response], store: MutableMapping | None = None, models: Callable[[], Response] | None = None, default_model: str | None = None,
+        log: Callable[[str], None] | None = None,
+    ):
         self.upstream, self.store, self.models_of, self.default = upstream, {} if store is None else store, models, default_model
         self.hits = self.misses = self.requests = 0
-        self.lock = threading.Lock()
+        self.lock, self.log = threading.Lock(), log or (lambda line: None)
 
-    def chat(self, body: dict) -> Response:
+    def chat(self, body: object) -> Response:
+        if not isinstance(body, dict):
+            return 400, {"error": {"message": "the body is no JSON object"}}, {}
         key = request_key(body)
         with self.lock:
             self.requests += 1
             found = self.store.get(key)
             if found is not None:
                 self.hits += 1
+                self.log(f"hit {key[:12]}")
                 return 200, found, {HIT_HEADER: "hit"}
         try:
             status, data, headers = self.upstream(body)
         except OSError as error:
+            self.log(f"no upstream for {key[:12]}: {error}")
             return 502, {"error": {"message": str(error)}}, {HIT_HEADER: "miss"}
+        self.log(f"miss {key[:12]} {status}")
         if status != 200:
             kept = {k: v for k, v in headers.items() if k.lower() == "retry-after"}
             return status, data, {HIT_HEADER: "miss"} | kept
@@ -148,7 +212,10 @@ class Proxy:
                     self._send(404, {"error": {"message": "no such path"}}, {})
 
             def do_POST(self) -> None:  # noqa: N802
-                body = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))) or b"{}")
+                try:
+                    body = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))) or b"{}")
+                except ValueError:
+                    body = None
                 self._send(*(proxy.chat(body) if self.path == "/v1/chat/completions" else (404, {"error": {"message": "no such path"}}, {})))
 
             def log_message(self, *args: object) -> None:

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import glob
 import hashlib
+import importlib.metadata
+import importlib.util
 import json
 import os
 import shutil
 import subprocess
 import tempfile
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from typing import Protocol
@@ -34,10 +37,12 @@ class ToolError(RuntimeError):
 
 
 def expand_inputs(patterns: Iterable[str]) -> list[str]:
-    """Files that patterns name, in order, each once; names without a wildcard stay as they are."""
+    """Files that patterns name, in order, each once; names without a wildcard stay as they are, one that names nothing is warned of."""
     found: dict[str, str] = {}
     for pattern in patterns:
         names = sorted(glob.glob(pattern)) if any(c in pattern for c in "*?[") else [pattern]
+        if not names:
+            warnings.warn(f"nothing is named {pattern}", stacklevel=2)
         for name in names:
             found.setdefault(os.path.realpath(name), name)
     return list(found.values())
@@ -89,15 +94,30 @@ def probe(path: str, run: Run = run_tool) -> dict:
     }
 
 
-def probe_videos(paths: DataFrame, run: Run = run_tool) -> DataFrame:
-    """paths: video_id, path -> videos."""
+def _each_alone(names: list[str], make: Callable[..., list[dict]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of each video; what fails for one is in the error of a row of its own."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            facts = [{"video_id": v} | probe(p, run) for v, p in zip(frame["video_id"], frame["path"])]
-            yield pd.DataFrame(facts, columns=[x.split()[0] for x in schemas.VIDEO.split(", ")])
+            rows: list[dict] = []
+            for video, *rest in frame.itertuples(index=False, name=None):
+                try:
+                    rows += [{"video_id": video, "error": None} | row for row in make(video, *rest)]
+                except Exception as error:  # noqa: BLE001 - one video does not end the others
+                    rows.append({"video_id": video, "error": f"{type(error).__name__}: {error}"[:2000]})
+            yield pd.DataFrame([{name: row.get(name) for name in names} for row in rows], columns=names, dtype=object)
+
+    return run
 
-    return paths.select("video_id", "path").mapInPandas(each, schemas.VIDEO)
+
+def _with_error(schema: str) -> tuple[list[str], str]:
+    return [*(x.split()[0] for x in schema.split(", ")), "error"], f"{schema}, error string"
+
+
+def probe_videos(paths: DataFrame, run: Run = run_tool) -> DataFrame:
+    """paths: video_id, path -> videos, and error."""
+    names, schema = _with_error(schemas.VIDEO)
+    return paths.select("video_id", "path").mapInPandas(_each_alone(names, lambda _, path: [probe(path, run)]), schema)
 
 
 def plain_number(x: float) -> str:
@@ -127,32 +147,65 @@ def sample_frames(path: str, folder: str, duration: float, settings: Settings, r
 
 
 def sample_videos(videos: DataFrame, root: str, settings: Settings, run: Run = run_tool) -> DataFrame:
-    """videos: video_id, path, duration -> samples."""
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"video_id": v} | s for v, p, d in zip(frame["video_id"], frame["path"], frame["duration"]) for s in sample_frames(p, f"{root}/{v}", d, settings, run)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schemas.SAMPLE.split(", ")])
-
-    return videos.select("video_id", "path", "duration").mapInPandas(each, schemas.SAMPLE)
+    """videos: video_id, path, duration -> samples, and error."""
+    names, schema = _with_error(schemas.SAMPLE)
+    return videos.select("video_id", "path", "duration").mapInPandas(_each_alone(names, lambda v, path, duration: sample_frames(path, f"{root}/{v}", duration, settings, run)), schema)
 
 
 class Recogniser(Protocol):
-    """Text of images; fingerprint names what its results depend on."""
+    """Text of images; a task makes one and releases it at its end."""
 
     def recognise(self, paths: list[str]) -> list[str]:
         """Raw JSON results, one an image."""
 
-    def fingerprint(self) -> dict: ...
+    def release(self) -> None: ...
 
 
-RECOGNISERS: dict[str, Callable[[Settings], Recogniser]] = {}
+class VisionRecogniser:
+    """The public document parser of the paddleocr package, loaded when it is first asked."""
+
+    def __init__(self, settings: Settings):
+        self.settings, self.model = settings, None
+
+    def options(self) -> dict:
+        s = self.settings
+        found = {"device": None if s.ocr_device == "auto" else s.ocr_device, "engine": s.paddleocr_engine}
+        if s.ocr_server_url:
+            found |= {
+                "vl_rec_backend": s.ocr_server_backend, "vl_rec_server_url": s.ocr_server_url, "vl_rec_api_model_name": s.ocr_server_model or s.paddleocr_model, "vl_rec_api_key": os.environ.get(s.ocr_api_key_env),
+            }
+        return {k: v for k, v in found.items() if v}
+
+    def recognise(self, paths: list[str]) -> list[str]:
+        if self.model is None:
+            try:
+                from paddleocr import PaddleOCRVL
+            except ImportError as error:
+                raise ToolError("the paddleocr package is not installed") from error
+            self.model = PaddleOCRVL(**self.options())
+        return [json.dumps(next(iter(self.model.predict(path))).json, ensure_ascii=False, default=str) for path in paths]
+
+    def release(self) -> None:
+        self.model = None
+
+
+RECOGNISERS: dict[str, Callable[[Settings], Recogniser]] = {"paddleocr-vl": VisionRecogniser}
 
 
 def register_recogniser(name: str, make: Callable[[Settings], Recogniser]) -> None:
     RECOGNISERS[name] = make
 
 
+def fingerprint(settings: Settings) -> dict:
+    """What results of the recogniser depend on beside the stage's parameters; addresses and keys are left out."""
+    try:
+        version = importlib.metadata.version("paddleocr")
+    except importlib.metadata.PackageNotFoundError:
+        version = None
+    server = {"backend": settings.ocr_server_backend, "server_model": settings.ocr_server_model or settings.paddleocr_model} if settings.ocr_server_url else {}
+    return {"provider": settings.ocr_provider, "model": settings.paddleocr_model, "engine": settings.paddleocr_engine, "device": settings.ocr_device, "version": version} | server
+
+
 def make_recogniser(settings: Settings) -> Recogniser:
     if settings.ocr_server_url and settings.ocr_server_backend not in SERVER_BACKENDS:
         raise ValueError(f"unknown backend: {settings.ocr_server_backend}")
@@ -188,6 +241,7 @@ def recognise_images(images: DataFrame, make: Callable[[], Recogniser], batch_si
             paths = batch.column("path").to_pylist()
             done = [r for i in range(0, len(paths), batch_size) for r in isolated(recogniser, paths[i : i + batch_size])]
             yield pa.RecordBatch.from_arrays([batch.column("sha256"), pa.array([s for s, _ in done], pa.string()), pa.array([r for _, r in done], pa.string())], names=["sha256", "status", "raw"])
+        getattr(recogniser, "release", lambda: None)()
 
     return images.select("sha256", "path").mapInArrow(run, "sha256 string, status string, raw string")
 
@@ -202,6 +256,45 @@ def speech_device(settings: Settings, has_gpu: bool = False) -> tuple[str, str]:
     return device, kind
 
 
+def extract_audio(path: str, run: Run = run_tool) -> str:
+    """16 kHz mono sound of a video, in a file of the executor that the caller removes once it is read."""
+    handle, target = tempfile.mkstemp(suffix=".wav")
+    os.close(handle)
+    run(["ffmpeg", "-v", "error", "-y", "-i", path, "-vn", "-ac", "1", "-ar", "16000", target])
+    return target
+
+
+class SpeechTranscriber:
+    """The public speech model of the faster_whisper package, loaded when it is first asked."""
+
+    def __init__(self, settings: Settings, run: Run = run_tool):
+        self.settings, self.run, self.model = settings, run, None
+
+    def _load(self) -> None:
+        try:
+            from faster_whisper import WhisperModel
+        except ImportError as error:
+            raise ToolError("the faster_whisper package is not installed") from error
+        device, kind = speech_device(self.settings, shutil.which("nvidia-smi") is not None)
+        self.model = WhisperModel(self.settings.asr_model, device=device, compute_type=kind)
+
+    def __call__(self, path: str) -> list[tuple[float, float, str]]:
+        if self.model is None:
+            self._load()
+        sound = extract_audio(path, self.run)
+        try:
+            said, _ = self.model.transcribe(sound, language=self.settings.asr_language, vad_filter=self.settings.asr_vad)
+            return [(x.start, x.end, x.text) for x in said]  # the model reads the file while it is asked for the next one
+        finally:
+            os.unlink(sound)
+
+
+def make_transcriber(settings: Settings) -> Transcribe:
+    if importlib.util.find_spec("faster_whisper") is None:
+        raise ToolError("speech is asked for, but the faster_whisper package is not installed")
+    return SpeechTranscriber(settings)
+
+
 def speech_segments(videos: DataFrame, make: Callable[[], Transcribe], settings: Settings) -> DataFrame:
     """videos: video_id, path, has_audio -> segments; none where speech is off or a video has no sound."""
     if not settings.audio_transcribe:
@@ -219,13 +312,5 @@ def speech_segments(videos: DataFrame, make: Callable[[], Transcribe], settings:
     return videos.where("has_audio").select("video_id", "path").mapInPandas(each, schemas.SEGMENT)
 
 
-def extract_audio(path: str, run: Run = run_tool) -> str:
-    """16 kHz mono sound of a video in a file that the caller removes."""
-    handle, target = tempfile.mkstemp(suffix=".wav")
-    os.close(handle)
-    run(["ffmpeg", "-v", "error", "-y", "-i", path, "-vn", "-ac", "1", "-ar", "16000", target])
-    return target
-
-
 def input_paths(spark: SparkSession, patterns: Iterable[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(expand_inputs(patterns), 1)), "video_id long, path string")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cuelattice import schemas
-from cuelattice.manifest import write_atomically
 
 SCHEMAS = {"videos": schemas.VIDEO, "samples": schemas.SAMPLE, "ocr": schemas.RESULT, "tracks": schemas.TRACK, "segments": schemas.SEGMENT, "translations": schemas.TRANSLATION, "events": schemas.EVENT}
 
@@ -31,6 +32,10 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def write(self, name: str, df: DataFrame, partition_by: str | None = None, mode: str = "overwrite") -> None:
         writer = df.write.mode(mode)
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(name))
@@ -62,12 +67,31 @@ def complete_results(samples: DataFrame, results: DataFrame) -> DataFrame:
     return samples.select(*keys).join(results, keys)
 
 
-def write_documents(documents: DataFrame, folder: str, suffix: str) -> list[str]:
-    """Files <video_id>.<suffix> of documents; one video's text at a time is on the driver."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    written = []
-    for row in documents.select("video_id", "document").toLocalIterator():
-        path = Path(folder) / f"{row['video_id']}.{suffix}"
-        write_atomically(path, row["document"])
-        written.append(str(path))
+def write_lines(lines: DataFrame, name: Callable[[Row], str | Path]) -> list[str]:
+    """lines: video_id, n, part, line -> a file for each video, under the name made of one of its rows.
+
+    Lines are sorted over all videos and pass the driver a partition at a time, so a video may be of
+    any length. Readers see a file when it is whole.
+    """
+    written: list[str] = []
+    video, file, path = object(), None, None
+
+    def done() -> None:
+        if file is not None:
+            file.close()
+            os.replace(path.with_name(path.name + ".part"), path)
+            written.append(str(path))
+
+    try:
+        for row in lines.orderBy("video_id", "n", "part").toLocalIterator():
+            if row["video_id"] != video:
+                done()
+                video, path = row["video_id"], Path(name(row))
+                path.parent.mkdir(parents=True, exist_ok=True)
+                file = path.with_name(path.name + ".part").open("w", encoding="utf-8", newline="\n")
+            file.write(row["line"])
+        done()
+    finally:
+        if file is not None:
+            file.close()
     return written

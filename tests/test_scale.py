@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelattice.operators.ordinals import numbered, time_bucket
-from cuelattice.session import NoSharedFolder, cut_lineage, drop_cuts, shared_folder, spread
+from cuelattice.session import NoSharedFolder, cut_lineage, drop_cuts, dropping_cuts, shared_folder, spread
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -36,6 +36,13 @@ def test_cut_tables_can_be_dropped(spark):
     assert path.exists() and drop_cuts(spark) >= 1 and not path.exists() and drop_cuts(spark) == 0
 
 
+def test_only_cuts_made_inside_are_dropped(spark):
+    before = cut_lineage(spark.range(4))
+    with dropping_cuts(spark):
+        path = Path(cut_lineage(spark.range(3)).inputFiles()[0].removeprefix("file://")).parent
+    assert not path.exists() and before.count() == 4
+
+
 @pytest.mark.parametrize("master, named, found", [("local[4]", None, "spark-warehouse/checkpoints"), ("local[*]", "hdfs://x/y/", "hdfs://x/y"), ("spark://h:7077", "s3a://b/c", "s3a://b/c"), ("spark://h:7077", None, None), ("local-cluster[3,2,1024]", None, None), ("yarn", None, None)])
 def test_clusters_must_name_a_shared_folder(master, named, found):
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=SimpleNamespace(master=master))

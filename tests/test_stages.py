@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelattice.config import Settings
-from cuelattice.manifest import Manifest, StageRangeError, downstream, stage_bounds
+from cuelattice.journal import Journal, StageRangeError, downstream, stage_bounds
 from cuelattice.operators import adapter, cleanup, dedupe, emit, sampling, translate
 from cuelattice.plans.catalogue import echo_chat
 from cuelattice.plans.pipeline import Pipeline
@@ -114,15 +114,31 @@ def test_manifest(tmp_path):
     assert stage_bounds() == (0, 7) and stage_bounds("cache") == (2, 2) and stage_bounds(None, "track", "emit") == (3, 7)
     with pytest.raises(StageRangeError):
         stage_bounds(None, "emit", "ocr")
-    m = Manifest(tmp_path / "m.json")
-    m.ensure_input("h")
-    m.mark("ocr", "p", True)
-    m.mark("emit", "q", True)
-    assert Manifest(tmp_path / "m.json").done("ocr", "p") and m.check("ocr", "p")
-    assert m.rename_hash("ocr", "p", "p2") and not m.rename_hash("ocr", "p", "p3") and m.done("ocr", "p2")
-    assert not m.check("ocr", "other") and m.params_hash("emit") is None
-    m.ensure_input("h2")
-    assert m.data["stages"] == {}
+    m = Journal(tmp_path / "m.json")
+    m.add("input", digest="h")
+    m.add("facts", facts={"inputs": 1})
+    m.add("ended", stage="ocr", digest="p")
+    m.add("ended", stage="emit", digest="q")
+    assert Journal(tmp_path / "m.json").standing.holds("ocr", "p") and m.standing.facts == {"inputs": 1}
+    m.add("renamed", stage="ocr", former="p", digest="p2")
+    m.add("renamed", stage="ocr", former="p", digest="p3")
+    assert m.standing.holds("ocr", "p2")
+    written = json.loads((tmp_path / "m.json").read_text())
+    assert written["stages"]["ocr"] == {"status": "completed", "params_hash": "p2", "completed_at": m.standing.ended["ocr"][1]}
+    m.add("began", stage="ocr", digest="other")
+    assert m.standing.ended == {} and json.loads((tmp_path / "m.json").read_text())["stages"] == {"ocr": {"status": "running", "params_hash": "other"}}
+    with (tmp_path / "m.jsonl").open("a") as file:
+        file.write('{"event": "en')
+    assert Journal(tmp_path / "m.json").standing == m.standing
+    m.add("input", digest="h2")
+    assert m.standing.open == {} == m.standing.ended and m.standing.source == "h2"
+
+
+def test_manifests_are_taken_up(tmp_path):
+    """Of the format that a run without a journal left."""
+    (tmp_path / "m.json").write_text(json.dumps({"input_hash": "h", "video_info": {"a": 1}, "stages": {"emit": {"status": "running", "params_hash": "x"}, "ocr": {"status": "completed", "params_hash": "p", "completed_at": "t"}}}))
+    now = Journal(tmp_path / "m.json").standing
+    assert now.holds("ocr", "p") and now.open == {"emit": "x"} and now.source == "h" and now.facts == {"a": 1}
 
 
 class Fake:
@@ -172,16 +188,159 @@ def test_whole_run_and_resume(spark, tmp_path):
     changed = make_run(spark, tmp_path, Settings(audio_transcribe=True, bilingual=True)).run()
     assert list(changed["durations"]) == ["emit"]
     again = make_run(spark, tmp_path, Settings(audio_transcribe=True, ocr_batch_size=1))
-    again.manifest.invalidate("ocr")
+    again.journal.add("dropped", stage="ocr")
     assert again.run(first="ocr", last="ocr")["ocr"]["recognised"] == 0
     # a manifest and cache of the former hash are carried over, not done again
     former, now = Settings(ocr_batch_size=1).former_ocr_hash(), Settings().stage_hash("ocr")
-    again.manifest.mark("ocr", former, True)
+    again.journal.add("ended", stage="ocr", digest=former)
     again._rename_cached(now, former)
     assert "ocr" not in make_run(spark, tmp_path, Settings(audio_transcribe=True, ocr_batch_size=1)).run(last="ocr")["durations"]
     assert {r["cache_key"].split(":")[1] for r in again._cached().collect()} == {now}
 
 
+def test_one_bad_input_does_not_end_the_others(spark, tmp_path):
+    inputs = spark.createDataFrame([(1, "clip.mp4"), (2, "torn.mp4"), (3, "dark.mp4")], "video_id long, path string")
+
+    def run(command):
+        if "torn" in command[-1]:
+            raise media.ToolError("no moov atom")
+        return json.dumps({"format": {"duration": "2"}, "streams": [{"codec_type": "video", "width": 4, "height": 4, "avg_frame_rate": "5/1"}]})
+
+    def frames(command):
+        if any("dark" in x for x in command):
+            raise ValueError("no picture")
+        for i in (1, 2):
+            Path(command[-1].replace("%08d", f"{i:08d}")).write_bytes(bytes([i]))
+        return ""
+
+    said = []
+    made = Pipeline(spark, Settings(), str(tmp_path / "w"), inputs, probe=lambda df: media.probe_videos(df, run), sample=lambda df: media.sample_videos(df, str(tmp_path / "f"), Settings(), frames), log=said.append)
+    got = made.run(last="sample")
+    assert got["outcome"]["succeeded"] == 1 and [(r["video_id"], r["error"]) for r in got["outcome"]["failed"]] == [(2, "ToolError: no moov atom"), (3, "ValueError: no picture")]
+    assert made.work.read("samples").count() == 2 and got["reduction"] == 0.1 and said[0] == "probe: begins"
+    from cuelattice import cli
+
+    assert cli.report(got["outcome"]) == 1 and cli.report({"inputs": 2, "succeeded": 2, "failed": []}) == 0
+
+
+def test_stopped_recognition_goes_on(spark, tmp_path):
+    class Counting(Fake):
+        def recognise(self, paths):
+            with (tmp_path / "seen").open("a") as file:
+                file.write("".join(f"{p}\n" for p in paths))
+            return super().recognise(paths)
+
+    rows = [(f"key{i}", f"img-{i}" if i % 4 else f"bad-{i}") for i in range(40)]
+    images = spark.createDataFrame(rows, "sha256 string, path string")
+    run = make_run(spark, tmp_path)
+    run.make_recogniser = Counting
+    half = images.where("cast(substr(sha256, 4) as int) < 20")
+    assert run._recognised(half, "d1").count() == 20
+    (tmp_path / "seen").write_text("")
+    assert run._recognised(images, "d1").where("status = 'failed'").count() == 10
+    assert {x.split("-")[1] for x in (tmp_path / "seen").read_text().split()} == {str(i) for i in range(20, 40)}
+
+
+def test_speech_needs_its_package(spark, tmp_path, monkeypatch):
+    run = make_run(spark, tmp_path, Settings(audio_transcribe=True))
+    run.make_transcribe = None
+    with pytest.raises(media.ToolError):
+        run.run(last="asr")
+    import importlib.util
+    import sys
+    import types
+
+    asked = []
+
+    class Model:
+        def __init__(self, name, **options):
+            asked.append((name, options))
+
+        def transcribe(self, path, **options):
+            assert Path(path).exists()
+            asked.append(options)
+            return iter([types.SimpleNamespace(start=0.0, end=1.5, text=" a ")]), None
+
+    fake = types.ModuleType("faster_whisper")
+    fake.WhisperModel, fake.__spec__ = Model, importlib.util.spec_from_loader("faster_whisper", None)
+    monkeypatch.setitem(sys.modules, "faster_whisper", fake)
+    speak = media.make_transcriber(Settings(asr_device="cpu", asr_language="de", asr_vad=True))
+    speak.run = lambda command: ""
+    assert speak("clip.mp4") == [(0.0, 1.5, " a ")] and asked == [("large-v3", {"device": "cpu", "compute_type": "int8"}), {"language": "de", "vad_filter": True}]
+
+
+def test_recogniser_of_the_public_package(monkeypatch):
+    import sys
+    import types
+
+    fake, made = types.ModuleType("paddleocr"), []
+
+    class Parser:
+        def __init__(self, **options):
+            made.append(options)
+
+        def predict(self, path):
+            return [types.SimpleNamespace(json={"res": {"parsing_res_list": [], "path": path}})]
+
+    fake.PaddleOCRVL = Parser
+    monkeypatch.setitem(sys.modules, "paddleocr", fake)
+    monkeypatch.setenv("PADDLEOCR_VL_API_KEY", "k")
+    settings = Settings(ocr_server_url="http://x", ocr_device="gpu:0")
+    reader = media.make_recogniser(settings)
+    assert [json.loads(x)["res"]["path"] for x in reader.recognise(["a", "b"])] == ["a", "b"] and len(made) == 1
+    assert made[0] == {"device": "gpu:0", "vl_rec_backend": "vllm-server", "vl_rec_server_url": "http://x", "vl_rec_api_model_name": "PaddleOCR-VL", "vl_rec_api_key": "k"}
+    reader.release()
+    assert reader.model is None
+    assert not {"http://x", "k"} & set(map(str, media.fingerprint(settings).values())) and media.fingerprint(settings)["backend"] == "vllm-server"
+
+
+def test_answers_outlast_the_proxy(tmp_path):
+    calls = []
+
+    def upstream(url, body=None, headers=None):
+        calls.append((url, body, headers))
+        return 200, answer("z"), {}
+
+    path = str(tmp_path / "a.db")
+    ask = {"model": "m", "messages": [{"role": "user", "content": "é"}], "stream": True}
+    with chat.Answers(path) as store:
+        assert chat.Proxy(chat.Upstream("http://u/", "k", upstream), store).chat(ask)[2]["x-cache"] == "miss"
+    with chat.Answers(path) as store:
+        proxy = chat.Proxy(chat.Upstream("http://u/", "k", upstream), store)
+        assert proxy.chat(ask)[2]["x-cache"] == "hit" and len(store) == 1 and list(store) and proxy.chat([1])[0] == 400
+        del store[next(iter(store))]
+        assert len(store) == 0
+    assert len(calls) == 1 and calls[0][1]["stream"] is False and calls[0][2] == {"Authorization": "Bearer k"}
+
+
+def test_proxy_command(tmp_path, capsys):
+    from cuelattice import proxy
+
+    assert proxy.main(["--upstream-url", "http://127.0.0.1:9", "--port", "0", "--db", str(tmp_path / "p.db"), "--quiet"], wait=False) == 0
+    assert capsys.readouterr().out.startswith("http://127.0.0.1:")
+    served = chat.Proxy(lambda body: (200, answer("x"), {}))
+    server = served.serve(port=0)
+    try:
+        import urllib.error
+        import urllib.request
+
+        with pytest.raises(urllib.error.HTTPError) as told:
+            urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}/v1/chat/completions", b"{torn"))
+        assert told.value.code == 400
+    finally:
+        server.shutdown()
+
+
+def test_files_beside_their_inputs(spark, tmp_path):
+    rows = [(2, 1, 0, "b1\n", "x/two.mp4"), (1, 2, 0, "a2\n", "x/one.mp4"), (1, 1, 1, "a1b\n", "x/one.mp4"), (1, 1, 0, "a1\n", "x/one.mp4")]
+    lines = spark.createDataFrame(rows, "video_id long, n int, part int, line string, path string")
+    run = make_run(spark, tmp_path)
+    assert str(run._named("srt")(lines.first())).endswith("out/2.zh-TW.srt")
+    run.beside_inputs = True
+    got = tables.write_lines(lines, lambda row: tmp_path / run._named("srt")(row))
+    assert [Path(p).relative_to(tmp_path).as_posix() for p in got] == ["x/one.zh-TW.srt", "x/two.zh-TW.srt"] and Path(got[0]).read_text() == "a1\na1b\na2\n"
+
+
 def test_strict_run_stops(spark, tmp_path):
     from cuelattice.plans.pipeline import StrictError
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.functions.geometry import unit_box
 from cuelattice.functions.text import is_meaningful
+from cuelattice.schemas import BOX
 
 ITEM = (
     "array<struct<block_content:string,content:string,block_bbox:array<double>,bbox:array<double>,confidence:double,score:double,"
@@ -29,11 +30,11 @@ def first_of(item: Column, field: str) -> Column:
     return F.coalesce(*[item[name] for name in ALIASES[field]])
 
 
-def parse_blocks(results: DataFrame, confidence: float | None = None) -> DataFrame:
+def parse_blocks(results: DataFrame, confidence: float | None = None, strict: bool = False) -> DataFrame:
     """results: video_id, sample_index, width, height, raw -> a row a block, block_no in the vendor's order from 1.
 
     Items without a letter or number, with fewer than four corners, or below the confidence (where
-    both are known) are left out. A missing or zero size gives null boxes, which is an error upstream.
+    both are known) are left out. A missing or zero size gives null boxes, or an error if strict.
     """
     items = results.select("video_id", "sample_index", "width", "height", F.posexplode(parsing_list(F.col("raw"))).alias("at", "item"))
     item = F.col("item")
@@ -49,6 +50,9 @@ def parse_blocks(results: DataFrame, confidence: float | None = None) -> DataFra
         kept = kept.where(F.col("confidence").isNull() | (F.col("confidence") >= confidence))
     corner = [F.get("px", F.lit(k)) for k in range(4)]
     bbox = unit_box(*corner, F.col("width"), F.col("height"))
+    if strict:
+        sized = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
+        bbox = F.when(sized, bbox).otherwise(F.raise_error(F.lit("a picture without a size")).cast(BOX))
     return kept.select("video_id", "sample_index", "block_no", bbox.alias("bbox"), "source_text", "label", "reading_order", "confidence", "language")
 
 

@@ -7,7 +7,19 @@ from pyspark.sql import functions as F
 
 
 def round3(x: Column) -> Column:
-    return F.bround(x, 3)
+    """Three decimals, a tie of the exact binary value to the even one.
+
+    The product with 1000 is rounded itself, so where it is a tie its error tells on which side the
+    value lies; splitting the value into two halves gives that error exactly.
+    """
+    product = x * 1000
+    split = x * 134217729.0
+    high = split - (split - x)
+    error = (high * 1000 - product) + (x - high) * 1000
+    below = F.floor(product)
+    tie = product - below == 0.5
+    whole = F.when(tie & (error > 0), below + 1).when(tie & (error < 0), below).otherwise(F.rint(product))
+    return whole.cast("double") / 1000
 
 
 def geometric_order(mode: str, x0: Column, y0: Column) -> list[Column]:

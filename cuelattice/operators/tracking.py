@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelattice.config import Settings
 from cuelattice.functions.geometry import same_region
@@ -161,6 +162,11 @@ def quiescent_stretches(rows: DataFrame, tolerance: int, chunk: int = CHUNK) ->
     return joined.withColumn("stretch", stretch).withColumn("ok_ord", F.col("shift") + F.col("at")).drop("chunk", "at", "before", "cut", "last_cut", "shift", "opened", "carried")
 
 
+def shows_text(blocks: Column, kind: T.DataType) -> Column:
+    """Whether a sample has a block that may open an event; which ones have no letter, sign or number is left to the fold."""
+    return F.exists(F.coalesce(blocks, F.array().cast(kind)), lambda b: F.length(F.trim(F.coalesce(b["source_text"], F.lit("")))) > 0)
+
+
 def fold_stretches(settings: Settings):
     """Arrow function: rows sorted by video, stretch and ok_ord -> events."""
 
@@ -202,8 +208,7 @@ def track_events(samples: DataFrame, videos: DataFrame, settings: Settings = Set
     fields = ("bbox", "source_text", "label", "reading_order", "confidence")
     slim = samples.select("video_id", "sample_index", "ingested_at", "status", "timestamp_s", F.transform("blocks", lambda b: F.struct(*[b[f].alias(f) for f in fields])).alias("blocks"))
     rows = counting_rows(slim, ["status", "timestamp_s", "blocks"]).where((F.col("status") != "failed") & F.col("timestamp_s").isNotNull())
-    # blocks without a letter, sign or number do not open events; which ones have none is left to the fold
-    busy = F.exists(F.coalesce("blocks", F.array().cast(slim.schema["blocks"].dataType)), lambda b: F.length(F.trim(F.coalesce(b["source_text"], F.lit("")))) > 0)
+    busy = shows_text(F.col("blocks"), slim.schema["blocks"].dataType)
     found = quiescent_stretches(rows.withColumn("busy", busy), settings.gap_tolerance, chunk)
     facts = videos.groupBy("video_id").agg(F.max("sample_interval").alias("interval"), F.max("duration").alias("duration"))
     joined = found.join(facts, "video_id", "left").withColumn("interval", F.coalesce("interval", F.lit(settings.interval)))

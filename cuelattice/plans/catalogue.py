@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cuelattice.config import Settings
 from cuelattice.functions import geometry, keys, parse, text, timefmt
 from cuelattice.operators import adapter, cleanup, compose, dedupe, emit, samples, sampling, stats, tracking, translate
-from cuelattice.session import table
+from cuelattice.session import cut_lineage, table
 from cuelattice.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,11 +539,13 @@ def request_previews(spark, d):
     return table(spark, d, "llm_cache").select("cache_key", keys.request_preview(F.col("request")).alias("preview"))
 
 
-@query()
+@query("""WITH s AS (SELECT cache_key, nullif(regexp_extract(json_extract_string(response, '$.choices[0].message.content'), '(?s)\\[.*\\]'), '') AS t FROM llm_cache),
+  a AS (SELECT cache_key, CASE WHEN json_valid(t) THEN list_transform(json_extract(t, '$[*]'), lambda x: CASE WHEN json_type(x) = 'BOOLEAN' THEN upper(left(CAST(x AS VARCHAR), 1)) || substr(CAST(x AS VARCHAR), 2) ELSE coalesce(x ->> '$', 'None') END) END AS a FROM s)
+  SELECT cache_key, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, array_to_string(a, chr(10)) AS lines FROM a""")
 def parsed_answers(spark, d):
     content = F.get_json_object("response", "$.choices[0].message.content")
     parsed = table(spark, d, "llm_cache").select("cache_key", parse.json_arrays(content).alias("a"))
-    return parsed.select("cache_key", F.size("a").alias("n_lines"), F.array_join("a", "\n").alias("lines"))
+    return parsed.select("cache_key", F.coalesce(F.size("a"), F.lit(0)).cast("bigint").alias("n_lines"), F.array_join("a", "\n").alias("lines"))
 
 
 def echo_chat():
@@ -561,11 +563,28 @@ def memo_translate(spark, d):
     return new.select("canonical_key", F.array_join("translated_lines", "\n").alias("lines"))
 
 
+@query(f"""WITH m AS (SELECT json_extract_string(request, '$.messages[1].content') AS k, arg_max(json_extract_string(response, '$.choices[0].message.content'), (created_at, cache_key)) AS t FROM llm_cache GROUP BY 1)
+  SELECT c.canonical_key, CASE WHEN m.k IS NULL THEN c.lines ELSE m.t END AS lines, m.k IS NOT NULL AS hit FROM (
+    SELECT {KEY % 'source_lines'} AS canonical_key, any_value(array_to_string(list_transform(source_lines, lambda x: '[' || x || ']'), chr(10))) AS lines FROM {CUES} GROUP BY 1) c LEFT JOIN m ON m.k = c.canonical_key""")
+def memo_translate_filled(spark, d):
+    """Answers that the cache has, as it has them, and translations of what it lacks."""
+    wanted = cues(spark, d, "source_lines").select(keys.canonical_key(F.col("source_lines")).alias("canonical_key")).distinct()
+    rows = table(spark, d, "llm_cache").select(F.get_json_object("request", "$.messages[1].content").alias("canonical_key"), F.get_json_object("response", "$.choices[0].message.content").alias("told"), "created_at", "cache_key")
+    known = rows.groupBy("canonical_key").agg(F.max_by("told", F.struct("created_at", "cache_key")).alias("told"))
+    cache = known.select("canonical_key", F.col("told").alias("lines"), F.lit(True).alias("hit"))
+
+    def compute(missing: DataFrame) -> DataFrame:
+        done = translate.translate_keys(missing, echo_chat, None, "xx")
+        return done.select("canonical_key", F.array_join("translated_lines", "\n").alias("lines"), F.lit(False).alias("hit"))
+
+    return dedupe.memo_map(wanted, "canonical_key", cache, compute)[0]
+
+
 @query()
 def subtitles_from_samples(spark, d):
     """The whole path: samples tracked, composed, translated by the stand-in, made final and written as SRT."""
-    events = tracked(spark, d)
-    made = compose.compose_cues(events, Settings().reading_order, ["close_seq"])
+    events = tracking.numbered_events(tracked(spark, d))
+    made = cut_lineage(compose.compose_cues(events, Settings().reading_order, ["event_no"]))
     done = translate.translate_keys(translate.distinct_cues(made), echo_chat, None, "xx")
     final = cleanup.finalize_cues(made, done, table(spark, d, "videos"))
     speech = spark.createDataFrame([], "video_id long, start_s double, end_s double, source_lines array<string>, translated_lines array<string>, bboxes array<array<double>>, source string")
@@ -588,9 +607,9 @@ def stream_delivery_windows(spark, d):
 
 @query()
 def stream_track_events(spark, d):
-    """The stateful fold over the stream of samples; open events are in the result as they stand."""
-    events = streams.run_to_table(streams.track_stream(streams.table_stream(spark, d, "ocr_results")), "append")
-    return events.select("video_id", ms(F.col("start_s")).alias("start_ms"), ms(F.col("end_s")).alias("end_ms"), "source_text", "observation_count", "closed")
+    """The fold over the stream of samples, to its end: the events of track_events."""
+    events = streams.track_to_table(streams.table_stream(spark, d, "ocr_results", files_per_trigger=64), table(spark, d, "videos"))
+    return events.select("video_id", ms(F.col("start_s")).alias("start_ms"), ms(F.col("end_s")).alias("end_ms"), "source_text", "reading_order", "label", "confidence", "observation_count", F.array_join("sample_indices", ",").alias("sample_indices"))
 
 
 @query(f"SELECT s.video_id, CAST(s.sample_index AS BIGINT) AS sample_index, o.status FROM (SELECT DISTINCT video_id, sample_index FROM ocr_results) s JOIN {COUNTED} o USING (video_id, sample_index)")

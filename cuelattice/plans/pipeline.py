@@ -125,6 +125,9 @@ class Pipeline:
         raw = new.select("cache_key", "status", "raw").unionByName(known.join(images.select("cache_key"), "cache_key", "left_semi").select("cache_key", F.lit("ok").alias("status"), "raw"))
         facts = self.work.read("videos").select("video_id", "width", "height")
         results = samples.drop("status").join(raw, "cache_key").join(facts, "video_id", "left")
+        # boxes of a picture without a size have no place in it
+        sized = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
+        results = results.withColumn("status", F.when(sized, F.col("status")).otherwise("failed")).withColumn("raw", F.when(sized, F.col("raw")))
         blocks = adapter.parse_blocks(results.select("video_id", "sample_index", "width", "height", "raw"), self.settings.ocr_confidence)
         struct = F.struct("block_no", F.concat_ws("-", "sample_index", "block_no").alias("id"), "bbox", "source_text", "label", "reading_order", "confidence", "language")
         listed = blocks.groupBy("video_id", "sample_index").agg(F.sort_array(F.collect_list(struct)).alias("b"))

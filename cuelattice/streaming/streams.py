@@ -1,22 +1,16 @@
-"""Streams of samples: windows of delivery time, and the stateful tracking fold."""
+"""Streams of samples: windows of delivery time, and the tracking fold over micro-batches."""
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuelattice.config import Settings
-from cuelattice.operators.tracking import Open, Tracker
-from cuelattice.session import shared_folder
-
-EVENTS = "video_id long, start_s double, end_s double, source_text string, observation_count int, closed boolean"
-STATE = "state string"
+from cuelattice.operators.samples import counting_rows
+from cuelattice.operators.tracking import EVENT, quiescent_stretches, shows_text, track_events
+from cuelattice.session import cut_lineage, dropping_cuts, shared_folder
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -38,57 +32,85 @@ def delivery_windows(samples: DataFrame, width: str = "1 hour", lateness: str =
     return counts.select(F.col("w.start").alias("window_start"), "status", "n")
 
 
-def _dump(tracker: Tracker, last: int) -> str:
-    rows = [[e.text, e.form, e.start, e.seen, list(e.box), e.order, e.label, e.confidence, e.samples, e.missed] for e in tracker.open]
-    return json.dumps([rows, last], ensure_ascii=False)
-
+SLIM = ("video_id", "sample_index", "ingested_at", "status", "timestamp_s", "blocks")
 
-def _load(text: str, settings: Settings) -> tuple[Tracker, int]:
-    tracker = Tracker(settings)
-    rows, last = json.loads(text)
-    tracker.open = [Open(*r[:4], tuple(r[4]), *r[5:10], fresh=False) for r in rows]
-    return tracker, last
 
+class TrackingSteps:
+    """The tracking fold over micro-batches; what is settled is folded, by the batch operator, and the rest kept.
 
-def track_stream(samples: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Events of a stream of samples by video: closed ones once, open ones as they stand after each batch.
-
-    The state of a video is its open events and the last sample number folded; samples that arrive
-    with a number at or below it are too late. Within a batch samples are put in order and the
-    latest delivery of each counts, so a batch must hold what a sample's repeats may be spread over.
+    Samples are settled up to the end of a video's last stretch that enough samples without text
+    follow, as no later sample changes its events, but not those within lateness samples of the
+    newest, which may still come out of order or again. The state is a table of unsettled samples
+    and a row a video with its settled number, in a folder of each step. A step reads that of the
+    step before and writes its own, so a repeated step has the same result. Samples at or below the
+    settled number are too late.
     """
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, last = _load(state.get[0], settings) if state.exists else (Tracker(settings), 0)
-        rows = pd.concat(list(frames), ignore_index=True)
-        rows = rows[(rows["sample_index"] > last) & rows["timestamp_s"].notna()].sort_values(["sample_index", "ingested_at"]).drop_duplicates("sample_index", keep="last")
-        for index, time, status, blocks in zip(rows["sample_index"], rows["timestamp_s"], rows["status"], rows["blocks"]):
-            last = int(index)
-            if status != "failed":
-                tracker.add(int(index), float(time), [_plain(b) for b in ([] if blocks is None else blocks)])
-        done = [(*_row(e), True) for e in tracker.take()]
-        state.update((_dump(tracker, last),))
-        standing = Tracker(settings)
-        standing.open = tracker.open
-        done += [(*_row(e), False) for e in standing.take(end=True)]
-        yield pd.DataFrame([(key[0], *r) for r in done], columns=[x.split()[0] for x in EVENTS.split(", ")])
-
-    slim = samples.select("video_id", "sample_index", "timestamp_s", "status", "blocks", F.col("ingested_at").cast("timestamp").alias("ingested_at")).where("video_id is not null and sample_index is not null")
-    return slim.groupBy("video_id").applyInPandasWithState(fold, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def _plain(block) -> dict:
-    found = block.asDict(True) if hasattr(block, "asDict") else dict(block)
-    if found.get("bbox") is not None and not isinstance(found["bbox"], dict):
-        found["bbox"] = found["bbox"].asDict()
-    for name in ("reading_order", "confidence"):
-        if found.get(name) is not None and found[name] != found[name]:
-            found[name] = None
-    return found
+    def __init__(self, spark: SparkSession, videos: DataFrame, settings: Settings, root: str, lateness: int = 0):
+        self.spark, self.videos, self.settings, self.root, self.lateness = spark, videos, settings, root, lateness
+
+    def _at(self, name: str, step: int) -> str:
+        return f"{self.root}/{name}/step={step}"
+
+    def _before(self, name: str, step: int, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self._at(name, step - 1)) if step else self.spark.createDataFrame([], schema)
+
+    def __call__(self, batch: DataFrame, step: int) -> None:
+        self.fold(batch.select(*SLIM).withColumn("ingested_at", F.col("ingested_at").cast("timestamp")).where("video_id is not null and sample_index is not null"), step)
+
+    def finish(self, schema, step: int) -> None:
+        """Fold what is left when no sample comes any more."""
+        self.fold(self.spark.createDataFrame([], schema), step, last=True)
+
+    def fold(self, samples: DataFrame, step: int, last: bool = False) -> None:
+        with dropping_cuts(self.spark):
+            bounds = self._before("bounds", step, "video_id long, settled int")
+            fresh = samples.join(bounds, "video_id", "left").where(F.coalesce(F.col("sample_index") > F.col("settled"), F.lit(True))).drop("settled")
+            held = cut_lineage(counting_rows(self._before("held", step, samples.schema).unionByName(fresh), ["status", "timestamp_s", "blocks"], "arrived"))
+            upto = cut_lineage(held.groupBy("video_id").agg(F.max("sample_index").alias("settled")) if last else self._settled(held))
+            split = held.join(upto, "video_id", "left")
+            settled = F.coalesce(F.col("sample_index") <= F.col("settled"), F.lit(False))
+            rows = lambda kept: split.where(kept).select(*[F.col("arrived").alias(c) if c == "ingested_at" else F.col(c) for c in SLIM])
+            track_events(rows(settled), self.videos, self.settings).write.mode("overwrite").parquet(self._at("events", step))
+            rows(~settled).write.mode("overwrite").parquet(self._at("held", step))
+            bounds.unionByName(upto).groupBy("video_id").agg(F.max("settled").alias("settled")).write.mode("overwrite").parquet(self._at("bounds", step))
+
+    def _settled(self, held: DataFrame) -> DataFrame:
+        """video_id, settled: the sample number up to which nothing can change."""
+        newest = held.groupBy("video_id").agg((F.max("sample_index") - self.lateness).alias("newest"))
+        due = held.join(newest, "video_id").where(F.col("sample_index") <= F.col("newest"))
+        ok = due.where((F.col("status") != "failed") & F.col("timestamp_s").isNotNull()).select("video_id", "sample_index", shows_text(F.col("blocks"), held.schema["blocks"].dataType).alias("busy"))
+        busy = quiescent_stretches(ok, self.settings.gap_tolerance)
+        final = busy.groupBy("video_id").agg(F.max(F.struct("stretch")).alias("top"), F.max("sample_index").alias("shown"))
+        begins = busy.join(final, "video_id").where(F.col("stretch") == F.col("top.stretch")).groupBy("video_id").agg(F.min("sample_index").alias("begins"), F.first("shown").alias("shown"))
+        silent = ok.join(begins, "video_id").where(F.col("sample_index") > F.col("shown")).groupBy("video_id").agg(F.count("*").alias("silent"))
+        facts = due.groupBy("video_id").agg(F.max("sample_index").alias("upto")).join(begins, "video_id", "left").join(silent, "video_id", "left")
+        over = F.col("begins").isNull() | (F.coalesce("silent", F.lit(0)) > self.settings.gap_tolerance)
+        return facts.select("video_id", F.when(over, F.col("upto")).otherwise(F.col("begins") - 1).cast("int").alias("settled"))
+
+
+def track_to_table(samples: DataFrame, videos: DataFrame, settings: Settings = Settings(), lateness: int = 0) -> DataFrame:
+    """Events of a stream of samples, run over what is there and to its end: the same as of the batch operator unless samples come later than lateness.
+
+    The folder of the result stays until the driver ends.
+    """
+    spark = samples.sparkSession
+    root = scratch(spark)
+    steps = TrackingSteps(spark, videos, settings, root, lateness)
+    query = samples.writeStream.foreachBatch(steps).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    done = query.lastProgress
+    schema = samples.select(*SLIM).withColumn("ingested_at", F.col("ingested_at").cast("timestamp")).schema
+    steps.finish(schema, done["batchId"] + 1 if done and done["numInputRows"] else (done["batchId"] if done else 0))
+    return spark.read.schema(EVENT).parquet(f"{root}/events").select(*[x.strip().split()[0] for x in ("video_id", "start_s", "end_s", "source_text", "bbox", "reading_order", "label", "confidence", "sample_indices", "observation_count", "close_seq")])
 
 
-def _row(event: dict) -> tuple:
-    return event["start_s"], event["end_s"], event["source_text"], event["observation_count"]
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return root
 
 
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
@@ -96,7 +118,7 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
 
     In complete mode every batch replaces the result; in append mode each adds to it.
     """
-    root = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    root = scratch(stream.sparkSession)
     write = "overwrite" if mode == "complete" else "append"
 
     def save(batch: DataFrame, number: int) -> None:

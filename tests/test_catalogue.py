@@ -37,6 +37,12 @@ def test_query(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+@needs_data
+def test_stream_and_batch_agree(spark):
+    batch = catalogue.QUERIES["track_events"](spark, DATA).drop("event_no").toPandas()
+    assert len(batch) and rows(batch) == rows(catalogue.QUERIES["stream_track_events"](spark, DATA).toPandas())
+
+
 @needs_data
 def test_entry(spark):
     import __spark_entry__ as entry

@@ -1,3 +1,4 @@
+import random
 """Column functions and plain functions on small golden values."""
 
 import math
@@ -103,3 +104,18 @@ def test_settings():
     assert base.stage_hash("ocr") == Settings(ocr_batch_size=2, ocr_server_url="x").stage_hash("ocr") != Settings(ocr_confidence=0.5).stage_hash("ocr")
     assert base.stage_hash("emit") != Settings(bilingual=True).stage_hash("emit") and base.stage_hash("track") == Settings(bilingual=True).stage_hash("track")
     assert base.stage_params("translate", model="m")["model"] == "m" and base.former_ocr_hash() != base.stage_hash("ocr")
+
+
+def test_three_decimals_as_exact_values_round(spark):
+    from cuelattice.operators.compose import round3
+
+    rng = random.Random(1)
+    values = [0.0005, 2.6755, 1.0005, 0.0015, 2.5, 0.0, -0.0005, -2.6755, 1e9 + 0.0005, *(round(rng.uniform(0, 9000), 4) for _ in range(3000)), *(rng.randrange(10**7) / 2000 for _ in range(3000))]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", round3(F.col("x")).alias("y")).collect()
+    assert [(r["x"], r["y"]) for r in got if r["y"] != round(r["x"], 3)] == []
+
+
+def test_arrays_of_answers_as_text_and_as_columns(spark):
+    texts = ['["a", "b"]', '```json\n["a", 1, null, true, 1.5]\n```', "so: [\"x\"] ok", "[1", "{}", "[]", "no", '["a"] and ["b"]', "['a']", '["ä\\n\\u00e9"]', "[[1], 2]"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse.json_arrays(F.col("t")).alias("a")).collect()
+    assert [r["a"] for r in got] == [parse.json_array(t) for t in texts]

@@ -425,13 +425,33 @@ def test_stream_equals_batch(spark, tmp_path):
     from tests.test_tracking import SAMPLES, block, videos as facts
     from cuelattice.operators import tracking
 
-    rows = [(1, i, float(i - 1), "ok", [block(t)] if t else [], None) for i, t in enumerate(["aaaa", "aaaa", "", "", "bbbb", "bbbb", "cccc"], 1)]
-    for k, part in enumerate((rows[:3], rows[3:])):
-        spark.createDataFrame(part, SAMPLES).coalesce(1).write.parquet(str(tmp_path / f"in/part{k}"))
-    frames = spark.readStream.schema(SAMPLES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = streams.run_to_table(streams.track_stream(frames), "append").where("closed").collect()
-    batch = tracking.track_events(spark.createDataFrame(rows, SAMPLES), facts(spark)).collect()
-    assert {(e["start_s"], e["source_text"]) for e in got} == {(e["start_s"], e["source_text"]) for e in batch if e["source_text"] != "cccc"}
+    shown = ["aaaa", "aaaa", "", "", "bbbb", "bbbb", "cccc", "", "cccc", "", "", "", "dddd", "dddd", "", "eeee"]
+    rows = [(v, i, float(i - 1), "failed" if (i, v) == (4, 2) else "ok", [block(t)] if t else [], None) for v in (1, 2) for i, t in enumerate(shown, 1)]
+    batch = spark.createDataFrame(rows, SAMPLES)
+    columns = ["video_id", "start_s", "end_s", "source_text", "sample_indices"]
+    want = sorted(map(repr, tracking.track_events(batch, facts(spark)).select(*columns).collect()))
+    for cut in ((3,), (1, 2, 6, 7, 9, 13), tuple(range(1, 16))):
+        folder = tmp_path / f"in{len(cut)}"
+        for k, (low, high) in enumerate(zip((0, *cut), (*cut, 16))):
+            spark.createDataFrame([r for r in rows if low < r[1] <= high], SAMPLES).coalesce(1).write.parquet(str(folder / f"part{k:02d}"))
+        frames = spark.readStream.schema(SAMPLES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        assert sorted(map(repr, streams.track_to_table(frames, facts(spark)).select(*columns).collect())) == want
+
+
+def test_late_samples_and_repeated_steps(spark, tmp_path):
+    from tests.test_tracking import SAMPLES, block, videos as facts
+    from cuelattice.operators import tracking
+
+    rows = [(1, i, float(i - 1), "ok", [block(t)] if t else [], None) for i, t in enumerate(["aaaa", "aaaa", "aaaa", "", "", "", "bbbb"], 1)]
+    frame = lambda *numbers: spark.createDataFrame([rows[i - 1] for i in numbers], SAMPLES).withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    for lateness, observed in ((0, {(0.0, 2), (6.0, 1)}), (6, {(0.0, 3), (6.0, 1)})):
+        steps = streams.TrackingSteps(spark, facts(spark), Settings(), str(tmp_path / f"s{lateness}"), lateness)
+        for step, numbers in enumerate(((1, 2, 4, 5, 6), (3, 7))):
+            for _ in range(2):  # a step that is done again changes nothing
+                steps(frame(*numbers), step)
+        steps.finish(frame(1).schema, 2)
+        got = spark.read.schema(tracking.EVENT).parquet(f"{tmp_path}/s{lateness}/events")
+        assert {(r["start_s"], r["observation_count"]) for r in got.collect()} == observed
 
 
 def test_command_line():

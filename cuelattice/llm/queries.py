@@ -13,7 +13,7 @@ from cuelattice.llm.neardup import near_duplicate_classes, near_duplicates
 from cuelattice.llm.pairs import WordBook, cache_pairs, cue_pairs, defective_pairs
 from cuelattice.llm.plainform import plain_form
 from cuelattice.llm.runs import text_runs
-from cuelattice.llm.truncation import cut_rates, length_hazards, text_endings, truncated
+from cuelattice.llm.truncation import FDR, LIFT, NEIGHBOURS, cut_rates, length_hazards, text_endings, truncated
 from cuelattice.operators.samples import block_key, counting_blocks
 from cuelattice.session import spread, table
 
@@ -114,8 +114,21 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths at which a source's texts end more often than at the lengths beside them."""
     hazards = length_hazards(text_endings(table(spark, sf_dir, "documents")))
-    return hazards.where("significant").select("source", "measure", "length", "n", "at_risk", "hazard", "neighbours", "p")
-
+    millionths = lambda c: F.rint(F.col(c) * 1_000_000).cast("bigint").alias(f"{c}_millionths")
+    return hazards.where("significant").select("source", "measure", F.col("length").cast("bigint").alias("length"), "n", "at_risk", millionths("hazard"), millionths("neighbours"))
+
+
+#: Hazards, Poisson tails and the false-discovery step of p8_limits.
+LIMITS = """WITH m AS (SELECT source, 'chars' AS measure, length(text) AS length FROM documents WHERE text IS NOT NULL UNION ALL SELECT source, 'bytes', strlen(text) FROM documents WHERE text IS NOT NULL),
+  c AS (SELECT source, measure, CAST(length AS BIGINT) AS length, count(*) AS n FROM m WHERE length > 0 GROUP BY ALL),
+  r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source, measure ORDER BY length DESC) AS BIGINT) AS at_risk FROM c),
+  h AS (SELECT *, n / at_risk AS hazard, (sum(n) OVER w - n + 0.5) / {0} / avg(at_risk) OVER w AS neighbours FROM r WINDOW w AS (PARTITION BY source, measure ORDER BY length RANGE BETWEEN {1} PRECEDING AND {1} FOLLOWING)),
+  e AS (SELECT *, greatest(neighbours * at_risk, 1e-3) AS mean FROM h),
+  p AS (SELECT *, CASE WHEN n <= mean THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(n, n + 1000), lambda i: exp(i * ln(mean) - mean - lgamma(i + 1))))) END AS p FROM e),
+  k AS (SELECT *, row_number() OVER (PARTITION BY source, measure ORDER BY p, length) AS r, count(*) OVER (PARTITION BY source, measure) AS m FROM p),
+  f AS (SELECT *, max(CASE WHEN p <= r * {2} / m THEN r END) OVER (PARTITION BY source, measure) AS passed FROM k)
+  SELECT source, measure, length, CAST(n AS BIGINT) AS n, at_risk, CAST(round_even(hazard * 1000000, 0) AS BIGINT) AS hazard_millionths, CAST(round_even(neighbours * 1000000, 0) AS BIGINT) AS neighbours_millionths
+  FROM f WHERE r <= passed AND n > 2 AND hazard >= {3} * neighbours""".format(2 * NEIGHBOURS, NEIGHBOURS, FDR, LIFT)
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_runs, p3_found, p4_found, p4_segments, p5_found, p5_classes, p6_found, p6_leaks, p7_copies, p7_shares, p8_found, p8_rates, p8_limits)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p8_limits": LIMITS}

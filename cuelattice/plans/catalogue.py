@@ -287,6 +287,28 @@ def track_events(spark, d):
     return events.select("video_id", "event_no", ms(F.col("start_s")).alias("start_ms"), ms(F.col("end_s")).alias("end_ms"), "source_text", "reading_order", "label", "confidence", "observation_count", F.array_join("sample_indices", ",").alias("sample_indices"))
 
 
+#: Boxes that stand for the regions where only those count.
+REGION_BOXES = {"top": (0.1, 0.0, 0.9, 0.3), "middle": (0.1, 0.35, 0.9, 0.65), "bottom": (0.1, 0.7, 0.9, 1.0)}
+
+
+@query(f"SELECT video_id, region, start_ms, end_ms, md5(text) AS text, confidence, observation_count, first_sample, last_sample FROM ({_islands_sql(1, 0)})")
+def track_events_exact(spark, d):
+    """The fold where only equal texts of a region continue an event, as SQL can say: texts as digests, boxes as regions."""
+
+    def plain(b: Column) -> Column:
+        shown, region = text.tidy_display(b["source_text"]), samples.region_of(b["bbox"])
+        box = F.coalesce(*[F.when(region == name, F.struct(*[F.lit(v).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), corners)])) for name, corners in REGION_BOXES.items()])
+        return F.struct(box.alias("bbox"), F.when(shown != "", F.md5(shown)).otherwise("").alias("source_text"), b["label"].alias("label"), b["reading_order"].alias("reading_order"), b["confidence"].alias("confidence"))
+
+    rows = table(spark, d, "ocr_results").withColumn("blocks", F.transform("blocks", plain))
+    events = tracking.track_events(rows, table(spark, d, "videos"), Settings(text_similarity=1.0, min_event_duration=0.0))
+    region = F.coalesce(*[F.when(F.col("bbox.y0") == corners[1], name) for name, corners in REGION_BOXES.items()])
+    return events.select(
+        "video_id", region.alias("region"), ms(F.col("start_s")).alias("start_ms"), ms(F.col("end_s")).alias("end_ms"), F.col("source_text").alias("text"), "confidence",
+        F.col("observation_count").cast("bigint").alias("observation_count"), F.array_min("sample_indices").cast("bigint").alias("first_sample"), F.array_max("sample_indices").cast("bigint").alias("last_sample"),
+    )
+
+
 # ---- cues ----
 def _compose_sql(k1: str, k2: str) -> str:
     return f"""WITH l AS (SELECT video_id, {MS % "start_s"} AS start_ms, {MS % "end_s"} AS end_ms, source_text, reading_order AS ro, {k1} AS k1, {k2} AS k2, track_id FROM {TRACKS}),
@@ -563,7 +585,7 @@ def memo_translate(spark, d):
     return new.select("canonical_key", F.array_join("translated_lines", "\n").alias("lines"))
 
 
-@query(f"""WITH m AS (SELECT json_extract_string(request, '$.messages[1].content') AS k, arg_max(json_extract_string(response, '$.choices[0].message.content'), (created_at, cache_key)) AS t FROM llm_cache GROUP BY 1)
+@query(f"""WITH m AS (SELECT * FROM (SELECT json_extract_string(request, '$.messages[1].content') AS k, json_extract_string(response, '$.choices[0].message.content') AS t, row_number() OVER (PARTITION BY k ORDER BY created_at DESC, cache_key DESC) AS r FROM llm_cache) WHERE r = 1)
   SELECT c.canonical_key, CASE WHEN m.k IS NULL THEN c.lines ELSE m.t END AS lines, m.k IS NOT NULL AS hit FROM (
     SELECT {KEY % 'source_lines'} AS canonical_key, any_value(array_to_string(list_transform(source_lines, lambda x: '[' || x || ']'), chr(10))) AS lines FROM {CUES} GROUP BY 1) c LEFT JOIN m ON m.k = c.canonical_key""")
 def memo_translate_filled(spark, d):

@@ -16,6 +16,7 @@ from cuelattice.config import Settings
 from cuelattice.functions import geometry, keys, parse, text, timefmt
 from cuelattice.operators import adapter, cleanup, compose, dedupe, emit, samples, sampling, stats, tracking, translate
 from cuelattice.session import cut_lineage, table
+from cuelattice.sources import media, tables
 from cuelattice.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,17 +292,22 @@ def track_events(spark, d):
 REGION_BOXES = {"top": (0.1, 0.0, 0.9, 0.3), "middle": (0.1, 0.35, 0.9, 0.65), "bottom": (0.1, 0.7, 0.9, 1.0)}
 
 
-@query(f"SELECT video_id, region, start_ms, end_ms, md5(text) AS text, confidence, observation_count, first_sample, last_sample FROM ({_islands_sql(1, 0)})")
-def track_events_exact(spark, d):
-    """The fold where only equal texts of a region continue an event, as SQL can say: texts as digests, boxes as regions."""
+EXACT = f"SELECT video_id, region, start_ms, end_ms, md5(text) AS text, confidence, observation_count, first_sample, last_sample FROM ({_islands_sql(1, 0)})"
+EXACT_SETTINGS = Settings(text_similarity=1.0, min_event_duration=0.0)
+
+
+def exact_samples(rows: DataFrame) -> DataFrame:
+    """Samples with texts as digests and boxes as those of regions, so that SQL can say what the fold does with them."""
 
     def plain(b: Column) -> Column:
         shown, region = text.tidy_display(b["source_text"]), samples.region_of(b["bbox"])
         box = F.coalesce(*[F.when(region == name, F.struct(*[F.lit(v).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), corners)])) for name, corners in REGION_BOXES.items()])
         return F.struct(box.alias("bbox"), F.when(shown != "", F.md5(shown)).otherwise("").alias("source_text"), b["label"].alias("label"), b["reading_order"].alias("reading_order"), b["confidence"].alias("confidence"))
 
-    rows = table(spark, d, "ocr_results").withColumn("blocks", F.transform("blocks", plain))
-    events = tracking.track_events(rows, table(spark, d, "videos"), Settings(text_similarity=1.0, min_event_duration=0.0))
+    return rows.withColumn("blocks", F.transform("blocks", plain))
+
+
+def exact_events(events: DataFrame) -> DataFrame:
     region = F.coalesce(*[F.when(F.col("bbox.y0") == corners[1], name) for name, corners in REGION_BOXES.items()])
     return events.select(
         "video_id", region.alias("region"), ms(F.col("start_s")).alias("start_ms"), ms(F.col("end_s")).alias("end_ms"), F.col("source_text").alias("text"), "confidence",
@@ -309,6 +315,21 @@ def track_events_exact(spark, d):
     )
 
 
+@query(EXACT)
+def track_events_exact(spark, d):
+    """The fold where only equal texts of a region continue an event."""
+    return exact_events(tracking.track_events(exact_samples(table(spark, d, "ocr_results")), table(spark, d, "videos"), EXACT_SETTINGS))
+
+
+@query("""SELECT track_id, video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY start_s NULLS FIRST, bbox[2] NULLS FIRST, bbox[1] NULLS FIRST, end_s NULLS FIRST, source_text NULLS FIRST, track_id) AS BIGINT) AS event_no
+  FROM (SELECT DISTINCT track_id, video_id, start_s, end_s, source_text, bbox FROM tracks)""")
+def numbered_tracks(spark, d):
+    rows = tracks(spark, d, "video_id", "start_s", "end_s", "source_text", "bbox")
+    box = F.when(F.col("bbox").isNotNull(), F.struct(*[F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]))
+    events = rows.withColumn("bbox", box).withColumn("close_seq", F.col("track_id"))
+    return tracking.numbered_events(events).select("track_id", "video_id", F.col("event_no").cast("bigint").alias("event_no"))
+
+
 # ---- cues ----
 def _compose_sql(k1: str, k2: str) -> str:
     return f"""WITH l AS (SELECT video_id, {MS % "start_s"} AS start_ms, {MS % "end_s"} AS end_ms, source_text, reading_order AS ro, {k1} AS k1, {k2} AS k2, track_id FROM {TRACKS}),
@@ -634,6 +655,50 @@ def stream_track_events(spark, d):
     return events.select("video_id", ms(F.col("start_s")).alias("start_ms"), ms(F.col("end_s")).alias("end_ms"), "source_text", "reading_order", "label", "confidence", "observation_count", F.array_join("sample_indices", ",").alias("sample_indices"))
 
 
+@query(EXACT)
+def stream_track_exact(spark, d):
+    """The fold over the stream of samples where only equal texts of a region continue an event."""
+    rows = exact_samples(streams.table_stream(spark, d, "ocr_results", files_per_trigger=64))
+    return exact_events(streams.track_to_table(rows, table(spark, d, "videos"), EXACT_SETTINGS))
+
+
+# ---- stages as tables, images ----
+@query("SELECT video_id, CAST(2 * count(*) AS BIGINT) AS n, CAST(2 * coalesce(sum(len(sample_indices)), 0) AS BIGINT) AS n_samples FROM tracks GROUP BY 1")
+def stage_table_roundtrip(spark, d):
+    """A stage's table written by video, added to, and read again; an absent one is empty."""
+    rows = table(spark, d, "tracks").select("video_id", "track_id", "sample_indices")
+    work = tables.Workspace(spark, streams.scratch(spark))
+    work.write("tracks", rows, partition_by="video_id")
+    work.write("tracks", rows, partition_by="video_id", mode="append")
+    both = work.read("tracks").unionByName(work.read("segments").select("video_id", F.lit(None).cast("long").alias("track_id"), F.lit(None).cast("array<int>").alias("sample_indices")))
+    return both.groupBy(F.col("video_id").cast("bigint").alias("video_id")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("sample_indices")), F.lit(0)).cast("bigint").alias("n_samples"))
+
+
+class LengthReader:
+    """A stand-in for a recogniser: the number of letters of a text, and an error for term lists."""
+
+    def recognise(self, paths: list[str]) -> list[str]:
+        if any(p.startswith("list:") for p in paths):
+            raise ValueError("not for term lists")
+        return ['{"n": %d}' % (len(p) - p.index(":") - 1) for p in paths]
+
+    def release(self) -> None:
+        pass
+
+
+@query("""SELECT sha256(text) AS sha256, CASE WHEN min(doc_format) = 'list' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN min(doc_format) <> 'list' THEN '{"n": ' || any_value(length(text)) || '}' END AS raw FROM documents WHERE text IS NOT NULL AND doc_format IS NOT NULL GROUP BY 1""")
+def recognised_images(spark, d):
+    """Texts in place of images, each once; those that fail are found by asking for fewer."""
+    rows = table(spark, d, "documents").where(F.col("text").isNotNull() & F.col("doc_format").isNotNull()).select(F.sha2("text", 256).alias("sha256"), F.concat_ws(":", "doc_format", "text").alias("path"))
+    return media.recognise_images(dedupe.representatives(rows, "sha256", "path").select("sha256", "path"), LengthReader)
+
+
+@query(f"SELECT DISTINCT sha256(text) || ':{Settings().stage_hash('ocr')}' AS cache_key FROM documents WHERE text IS NOT NULL")
+def image_keys(spark, d):
+    digest = table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("sha256"))
+    return digest.select(keys.image_key(F.col("sha256"), Settings().stage_params("ocr")).alias("cache_key")).distinct()
+
+
 @query(f"SELECT s.video_id, CAST(s.sample_index AS BIGINT) AS sample_index, o.status FROM (SELECT DISTINCT video_id, sample_index FROM ocr_results) s JOIN {COUNTED} o USING (video_id, sample_index)")
 def results_of_samples(spark, d):
     grid = table(spark, d, "ocr_results").select("video_id", "sample_index").distinct()

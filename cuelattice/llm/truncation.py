@@ -120,9 +120,12 @@ def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-@lru_cache(maxsize=1 << 16)
 def prefix_codes(word: str) -> np.ndarray:
-    """Hash of each beginning of a word, the whole word last."""
+    """Hash of each beginning of a word, the whole word last; those of words of usual length are kept."""
+    return _usual_codes(word) if len(word) <= 32 else _prefix_codes(word)
+
+
+def _prefix_codes(word: str) -> np.ndarray:
     codes, code = [], 0
     for letter in word:
         code = zlib.crc32(letter.encode(), code)
@@ -130,6 +133,9 @@ def prefix_codes(word: str) -> np.ndarray:
     return np.array(codes, np.uint64)
 
 
+_usual_codes = lru_cache(maxsize=1 << 16)(_prefix_codes)
+
+
 def cells_of(before: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Cell of each beginning, by its hash and that of the word before it."""
     with np.errstate(over="ignore"):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,20 +36,34 @@ def tidy_display(text: Column) -> Column:
     return F.regexp_replace(lines, r"^[ \n]+|[ \n]+$", "")
 
 
-def display_text(text: Column) -> Column:
-    @F.pandas_udf(T.StringType())
-    def display(series: pd.Series) -> pd.Series:
-        return series.map(S.display_text)
+def _at_once(arr: pa.Array, function: Callable[[str], str]) -> pa.Array:
+    """A function that treats each character or cluster by itself, called once for a whole batch of texts; '' for null."""
+    texts = arr.fill_null("").to_pylist()
+    made = function("\0".join(texts)).split("\0")  # no cluster reaches over a null character
+    return pa.array(made if len(made) == len(texts) else [function(t) for t in texts], pa.string())
+
+
+def nfkc(text: Column) -> Column:
+    @F.arrow_udf(T.StringType())
+    def normal(arr: pa.Array) -> pa.Array:
+        return _at_once(arr, lambda x: unicodedata.normalize("NFKC", x))
 
-    return display(text)
+    return normal(text)
+
+
+def display_text(text: Column) -> Column:
+    """NFKC, line feeds only, single blanks, no blanks around lines; '' for null."""
+    return tidy_display(nfkc(text))
 
 
 def match_text(text: Column) -> Column:
-    @F.pandas_udf(T.StringType())
-    def match(series: pd.Series) -> pd.Series:
-        return series.map(S.match_text)
+    """The display text without case and blanks, for comparing only."""
+
+    @F.arrow_udf(T.StringType())
+    def folded(arr: pa.Array) -> pa.Array:
+        return _at_once(arr, lambda x: unicodedata.normalize("NFKC", x).casefold())
 
-    return match(text)
+    return F.regexp_replace(folded(display_text(text)), f"{BLANK}+", "")
 
 
 def similarity(a: Column, b: Column) -> Column:

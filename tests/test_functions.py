@@ -119,3 +119,14 @@ def test_arrays_of_answers_as_text_and_as_columns(spark):
     texts = ['["a", "b"]', '```json\n["a", 1, null, true, 1.5]\n```', "so: [\"x\"] ok", "[1", "{}", "[]", "no", '["a"] and ["b"]', "['a']", '["ä\\n\\u00e9"]', "[[1], 2]"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse.json_arrays(F.col("t")).alias("a")).collect()
     assert [r["a"] for r in got] == [parse.json_array(t) for t in texts]
+
+
+def test_display_and_matching_forms_of_batches(spark):
+    from cuelattice.functions import similarity as S
+    from cuelattice.functions import text
+
+    rng = random.Random(5)
+    alphabet = list("aAßſİı ﬁｶﾞe\u0301\u00a0\u3000\n\r\t\x0b\x1c\u200b\u1100\u1161ÅÅ①Ǆ\u0345α漢") + ["\r\n", "\0"]
+    rows = [None, "", " ", "\0", "a\0b", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(14))) for _ in range(3000))]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", text.display_text(F.col("t")).alias("d"), text.match_text(F.col("t")).alias("m")).collect()
+    assert [r for r in got if (r["d"], r["m"]) != (S.display_text(r["t"]), S.match_text(r["t"]))] == []

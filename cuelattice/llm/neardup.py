@@ -138,7 +138,10 @@ def cut_families(load: Callable[[], np.ndarray], hot: int) -> Callable:
     return run
 
 
-POSTING = "token long, part_a int, part_b int, part int, class_no long, size int, at int, family long, bits binary"
+#: Numbers only: key (a sequence, and the parts that meet where it is hot), size << 32 | position, part << 1 | whether parts differ,
+#: class, its family, bitmap.
+POSTING = "key long, place long, part long, class_no long, family long, " + ", ".join(f"bits{k} long" for k in range(BITMAP))
+POSTED = [x.split()[0] for x in POSTING.split(", ")]
 
 
 def postings(load: Callable[[], np.ndarray], threshold: float, hot: int) -> Callable:
@@ -148,7 +151,7 @@ def postings(load: Callable[[], np.ndarray], threshold: float, hot: int) -> Call
         sketch = load()
         for batch in batches:
             number = batch.column("class_no").to_numpy()
-            family = pa.array(smaller_families(batch.column("family").to_numpy(), number, sketch, hot))
+            family = smaller_families(batch.column("family").to_numpy(), number, sketch, hot)
             sizes, bits, row, token, at, held = [], [], [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 tokens = sequences(text)
@@ -157,9 +160,9 @@ def postings(load: Callable[[], np.ndarray], threshold: float, hot: int) -> Call
                 size = len(tokens)
                 first = np.lexsort((hashed, count))[: size - int(np.ceil(threshold * size - 1e-9)) + 1]
                 sizes.append(size)
-                bits.append(parity_bitmap(tokens).tobytes())
+                bits.append(parity_bitmap(tokens))
                 row.append(np.full(len(first), k))
-                token.append(hashed[first].view(np.int64))
+                token.append(hashed[first])
                 at.append(np.arange(len(first)))
                 held.append(count[first])
             if not row:
@@ -169,13 +172,12 @@ def postings(load: Callable[[], np.ndarray], threshold: float, hot: int) -> Call
             # a hot sequence is written once for each part that the set's own part has to meet
             wide = np.repeat(np.arange(len(row)), parts)
             other = np.arange(len(wide)) - np.repeat(np.cumsum(parts) - parts, parts)
-            mine = part_of(number[row[wide]], parts[wide])
-            of = pa.array(row[wide])
-            columns = [
-                pa.array(token[wide]), pa.array(np.minimum(mine, other).astype(np.int32)), pa.array(np.maximum(mine, other).astype(np.int32)), pa.array(mine.astype(np.int32)),
-                pa.array(number[row[wide]]), pa.array(sizes, pa.int32()).take(of), pa.array(at[wide].astype(np.int32)), family.take(of), pa.array(bits, pa.binary()).take(of),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in POSTING.split(", ")])
+            of, parts = row[wide], parts[wide]
+            mine = part_of(number[of], parts)
+            meeting = (np.minimum(mine, other) << 32 | np.maximum(mine, other)).astype(np.uint64)
+            key = np.where(parts > 1, token[wide] ^ mix(mix(meeting + np.uint64(1))), token[wide])
+            columns = [key.view(np.int64), np.array(sizes, np.int64)[of] << 32 | at[wide], mine << 1 | (mine != other), number[of], family[of], *np.stack(bits).view(np.int64)[of].T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=POSTED)
 
     return run
 
@@ -218,6 +220,7 @@ class Lists:
         """Pairs of one list in blocks; those of sets too large, or that meet the sequence too late, are skipped as a whole."""
         t, out = self.threshold, []
         share, spare = t / (1 + t) * self.size, (1 - t) / (1 + t) * self.size
+        crossing = self.crossing[start:end].any()
         late = self.left - share + 1e-6  # a pair needs as many elements left in both sets as both sizes ask for
         for low in range(start, end, BLOCK):
             rows = np.arange(low, min(low + BLOCK, end))
@@ -233,8 +236,8 @@ class Lists:
                 fits = (late[rows][:, None] >= share[None, first:last]) & (late[None, first:last] >= share[rows][:, None])
                 if first < rows[-1]:
                     fits &= np.arange(first, last)[None, :] > rows[:, None]
-                if self.crossing[start]:
-                    fits &= self.part[rows][:, None] != self.part[None, first:last]
+                if crossing:
+                    fits &= ~self.crossing[rows][:, None] | (self.part[rows][:, None] != self.part[None, first:last])
                 if not fits.any():
                     continue
                 apart = np.zeros(fits.shape, np.uint16)
@@ -252,7 +255,7 @@ CANDIDATE = "class_a long, class_b long, family long"
 
 
 def join_lists(threshold: float) -> Callable:
-    """Rows sorted by token, parts and size -> candidate pairs of classes, with the family of the first."""
+    """Rows sorted by key and size -> candidate pairs of classes, with the family of the first."""
 
     def pairs(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch | None:
         lists = Lists(rows, threshold)
@@ -280,19 +283,19 @@ def join_lists(threshold: float) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = {c: batch.column(c).to_numpy() for c in ("token", "part_a", "part_b", "part", "class_no", "family")}
-            now |= {c: batch.column(c).to_numpy().astype(np.int64) for c in ("size", "at")}
-            now["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
-            now["crossing"] = now["part_a"] != now["part_b"]
+            now = {c: batch.column(c).to_numpy() for c in ("key", "class_no", "family")}
+            place, part = batch.column("place").to_numpy(), batch.column("part").to_numpy()
+            now |= {"size": place >> 32, "at": place & 0xFFFFFFFF, "part": part >> 1, "crossing": (part & 1) > 0}
+            now["bits"] = np.stack([batch.column(f"bits{k}").to_numpy() for k in range(BITMAP)], 1).view(np.uint64)
             if held is not None:
                 now = {c: np.concatenate((held[c], now[c])) for c in now}
-            new = np.ones(len(now["token"]), bool)
-            new[1:] = (now["token"][1:] != now["token"][:-1]) | (now["part_a"][1:] != now["part_a"][:-1]) | (now["part_b"][1:] != now["part_b"][:-1])
+            new = np.ones(len(now["key"]), bool)
+            new[1:] = now["key"][1:] != now["key"][:-1]
             starts = np.flatnonzero(new)
             if len(starts) > 1 and (made := pairs(now, starts[:-1], starts[1:])) is not None:
                 yield made
             held = {c: v[starts[-1] :] for c, v in now.items()}
-        if held is not None and (made := pairs(held, np.zeros(1, np.int64), np.array([len(held["token"])]))) is not None:
+        if held is not None and (made := pairs(held, np.zeros(1, np.int64), np.array([len(held["key"])]))) is not None:
             yield made
 
     return run
@@ -383,8 +386,7 @@ def numbered_links(classes: DataFrame, threshold: float = THRESHOLD, hot: int =
     """Pairs of different classes at or above the threshold, by number: class_a < class_b, similarity."""
     sketch = classes.sparkSession.sparkContext.broadcast(count_sketch(classes))
     lists = classes.select("class_no", "text", "family").mapInArrow(postings(lambda: sketch.value, threshold, hot), POSTING)
-    keys = ("token", "part_a", "part_b")
-    grouped = lists.repartition(*keys).sortWithinPartitions(*keys, "size", "class_no")
+    grouped = lists.repartition("key").sortWithinPartitions("key", "place")
     candidates = grouped.mapInArrow(join_lists(threshold), CANDIDATE).distinct()
     texts = classes.select(F.col("class_no").alias("class_b"), "text")
     asked = candidates.join(texts, "class_b").select("family", "class_a", "class_b", "text")

@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         media.check_tools()
         if settings.audio_transcribe:
-            media.make_transcriber(settings)
+            media.make_transcriber(settings, settings.work_dir)
         spark = get_session()
         inputs = media.input_paths(spark, args.inputs)
         model = chat.first_model(settings.llm_cache_url, settings.llm_model)

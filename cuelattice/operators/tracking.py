@@ -70,6 +70,7 @@ class Tracker:
         self.duration = duration
         self.open: list[Open] = []
         self.closed: list[dict] = []
+        self.closings = 0
 
     def add(self, index: int, time: float, blocks: list[dict]) -> None:
         for event in self.open:
@@ -118,8 +119,9 @@ class Tracker:
         self.closed.append({
             "start_s": round(max(0.0, event.start), 3), "end_s": round(end, 3), "source_text": event.text,
             "bbox": dict(zip(("x0", "y0", "x1", "y1"), (round(v, 5) for v in event.box))), "reading_order": event.order, "label": event.label,
-            "confidence": event.confidence, "sample_indices": event.samples, "observation_count": len(event.samples), "close_seq": len(self.closed),
+            "confidence": event.confidence, "sample_indices": event.samples, "observation_count": len(event.samples), "close_seq": self.closings,
         })
+        self.closings += 1
 
     def take(self, end: bool = False) -> list[dict]:
         """Events closed since the last call that last long enough; at the end of the samples all of them."""

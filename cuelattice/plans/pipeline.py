@@ -164,10 +164,10 @@ class Pipeline:
         if not self.settings.audio_transcribe:
             self.work.write("segments", self.spark.createDataFrame([], schemas.SEGMENT))
             return
-        settings = self.settings
+        settings, folder = self.settings, f"{self.work.root}/sound"
         if self.make_transcribe is None:
-            media.make_transcriber(settings)  # raises here, not on an executor
-        make = self.make_transcribe or (lambda: media.make_transcriber(settings))
+            media.make_transcriber(settings, folder)  # raises here, not on an executor
+        make = self.make_transcribe or (lambda: media.make_transcriber(settings, folder))
         self.work.write("segments", media.speech_segments(self.work.read("videos"), make, settings))
         self.stats["asr"] = {"segments": self.work.read("segments").count()}
 

@@ -15,7 +15,7 @@ import json
 import os
 import shutil
 import subprocess
-import tempfile
+import uuid
 import warnings
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -256,10 +256,10 @@ def speech_device(settings: Settings, has_gpu: bool = False) -> tuple[str, str]:
     return device, kind
 
 
-def extract_audio(path: str, run: Run = run_tool) -> str:
-    """16 kHz mono sound of a video, in a file of the executor that the caller removes once it is read."""
-    handle, target = tempfile.mkstemp(suffix=".wav")
-    os.close(handle)
+def extract_audio(path: str, folder: str, run: Run = run_tool) -> str:
+    """16 kHz mono sound of a video, as a file in a folder that all executors see; the caller removes it once it is read."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    target = f"{folder}/{uuid.uuid4().hex}.wav"
     run(["ffmpeg", "-v", "error", "-y", "-i", path, "-vn", "-ac", "1", "-ar", "16000", target])
     return target
 
@@ -267,8 +267,8 @@ def extract_audio(path: str, run: Run = run_tool) -> str:
 class SpeechTranscriber:
     """The public speech model of the faster_whisper package, loaded when it is first asked."""
 
-    def __init__(self, settings: Settings, run: Run = run_tool):
-        self.settings, self.run, self.model = settings, run, None
+    def __init__(self, settings: Settings, folder: str, run: Run = run_tool):
+        self.settings, self.folder, self.run, self.model = settings, folder, run, None
 
     def _load(self) -> None:
         try:
@@ -281,18 +281,18 @@ class SpeechTranscriber:
     def __call__(self, path: str) -> list[tuple[float, float, str]]:
         if self.model is None:
             self._load()
-        sound = extract_audio(path, self.run)
+        sound = extract_audio(path, self.folder, self.run)
         try:
             said, _ = self.model.transcribe(sound, language=self.settings.asr_language, vad_filter=self.settings.asr_vad)
             return [(x.start, x.end, x.text) for x in said]  # the model reads the file while it is asked for the next one
         finally:
-            os.unlink(sound)
+            Path(sound).unlink(missing_ok=True)
 
 
-def make_transcriber(settings: Settings) -> Transcribe:
+def make_transcriber(settings: Settings, folder: str) -> Transcribe:
     if importlib.util.find_spec("faster_whisper") is None:
         raise ToolError("speech is asked for, but the faster_whisper package is not installed")
-    return SpeechTranscriber(settings)
+    return SpeechTranscriber(settings, folder)
 
 
 def speech_segments(videos: DataFrame, make: Callable[[], Transcribe], settings: Settings) -> DataFrame:

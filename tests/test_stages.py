@@ -264,9 +264,10 @@ def test_speech_needs_its_package(spark, tmp_path, monkeypatch):
     fake = types.ModuleType("faster_whisper")
     fake.WhisperModel, fake.__spec__ = Model, importlib.util.spec_from_loader("faster_whisper", None)
     monkeypatch.setitem(sys.modules, "faster_whisper", fake)
-    speak = media.make_transcriber(Settings(asr_device="cpu", asr_language="de", asr_vad=True))
-    speak.run = lambda command: ""
+    speak = media.make_transcriber(Settings(asr_device="cpu", asr_language="de", asr_vad=True), str(tmp_path / "sound"))
+    speak.run = lambda command: Path(command[-1]).write_text("wav") and ""
     assert speak("clip.mp4") == [(0.0, 1.5, " a ")] and asked == [("large-v3", {"device": "cpu", "compute_type": "int8"}), {"language": "de", "vad_filter": True}]
+    assert list((tmp_path / "sound").iterdir()) == []
 
 
 def test_recogniser_of_the_public_package(monkeypatch):

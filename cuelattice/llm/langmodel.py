@@ -249,7 +249,7 @@ def labelled_sample(documents: DataFrame, docs: int = SAMPLE_DOCS, codes: int =
     first = hashes.withColumn("r", F.row_number().over(by)).where(F.col("r") <= docs)
     chosen = first.withColumn("upto", F.sum("size").over(by)).where(F.col("upto") <= codes).select("lang", "h", "r")
     texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text"))
-    return [(r["lang"], r["text"]) for r in texts.orderBy("lang", "r").collect()]
+    return [(r["lang"], r["text"]) for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["r"]))]
 
 
 def fit(sample: list[tuple[str, str]], max_codes: int = MAX_CODES) -> Models:

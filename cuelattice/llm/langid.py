@@ -179,7 +179,7 @@ def language_segments(texts: DataFrame, models: Models) -> DataFrame:
     Columns of texts that are named like the new ones are left out.
     """
     texts = texts.select(*[c for c in texts.columns if c not in ADDED])
-    shared = texts.sparkSession.sparkContext.broadcast(models)  # bounded by MAX_CODES
+    shared = texts.sparkSession.sparkContext.broadcast(models)  # grows with the distinct sequences of the documents
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
     return texts.mapInArrow(segmenter(lambda: shared.value), f"{kept}, seg_no int, lang string, confidence double, n_letters int, n_segments int")
 

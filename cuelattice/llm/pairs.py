@@ -263,7 +263,21 @@ class WordBook:
                 if word not in counts:
                     counts[word] = np.zeros(len(LANGUAGES), np.float32)
                 counts[word][at] += 1
-        total = np.maximum(1.0, sum(counts.values(), np.zeros(len(LANGUAGES), np.float32)))
+        self._weigh(counts, sum(counts.values(), np.zeros(len(LANGUAGES), np.float32)))
+
+    @classmethod
+    def counted(cls, parts: DataFrame) -> WordBook:
+        """parts: lang (index), word, n of all texts, summed up here."""
+        of = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"l{k}") for k in range(len(LANGUAGES))]
+        rows = parts.groupBy("word").agg(*of, F.sum("n").alias("total")).where("total > 1").toArrow()
+        counts = np.stack([rows.column(f"l{k}").to_numpy() for k in range(len(LANGUAGES))], 1).astype(np.float32)
+        made = cls([])
+        total = {r["lang"]: r["n"] for r in parts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        made._weigh(dict(zip(rows.column("word").to_pylist(), counts)), np.array([total.get(k, 0) for k in range(len(LANGUAGES))], np.float32))
+        return made
+
+    def _weigh(self, counts: dict[str, np.ndarray], total: np.ndarray) -> None:
+        total = np.maximum(1.0, total)
         # words met once are names more often than words
         self.weight = {w: np.log((c + 0.02) / total) for w, c in counts.items() if c.sum() > 1}
 
@@ -426,7 +440,7 @@ def judge(load: Callable[[], tuple[Models, WordBook]]) -> Callable:
 
 def defective_pairs(pairs: DataFrame, models: Models, book: WordBook) -> DataFrame:
     """pairs: pair_key, target, sources array<string>, answers array<string> (null: see content), content string."""
-    shared = pairs.sparkSession.sparkContext.broadcast((models, book))  # bounded by the sample
+    shared = pairs.sparkSession.sparkContext.broadcast((models, book))  # grows with the distinct words and sequences of the documents
     return pairs.select("pair_key", "target", "sources", "answers", "content").mapInArrow(judge(lambda: shared.value), "pair_key string, defect string")
 
 

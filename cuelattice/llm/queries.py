@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelattice.llm.langid import label_code, language_segments
-from cuelattice.llm.langmodel import fit, labelled_sample
+from cuelattice.llm.langmodel import fitted
 from cuelattice.llm.leakage import leaked_items
 from cuelattice.llm.mixing import copies, shares
 from cuelattice.llm.neardup import near_duplicate_classes, near_duplicates
@@ -50,15 +50,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = labelled_sample(table(spark, sf_dir, "documents"))
+    models, words = fitted(table(spark, sf_dir, "documents"), WordBook.words, endings=True, calibrated=False)  # only the segments of problem 4 ask for confidences
     cues = cue_pairs(spread(table(spark, sf_dir, "cues").select("cue_id", "video_id", "source_lines", "translated_lines")), table(spark, sf_dir, "videos"))
     pairs = cues.unionByName(cache_pairs(spread(table(spark, sf_dir, "llm_cache").select("cache_key", "request", "response"))))
-    return defective_pairs(pairs, fit(sample), WordBook(sample)).distinct()
+    return defective_pairs(pairs, models, WordBook.counted(words)).distinct()
 
 
 def block_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of every block that has enough letters: video_id, block_id, label and those of language_segments."""
-    models = fit(labelled_sample(table(spark, sf_dir, "documents")))
+    models, _ = fitted(table(spark, sf_dir, "documents"))
     blocks = counting_blocks(table(spark, sf_dir, "ocr_results"), "source_text", "language")
     texts = blocks.select("video_id", "block_id", label_code(F.col("language")).alias("label"), F.col("source_text").alias("text"))
     return language_segments(texts, models)

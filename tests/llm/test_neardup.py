@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from cuelattice.llm import neardup as N
 
@@ -89,3 +90,62 @@ def test_compared_form_and_odd_rows(spark):
     assert {tuple(r) for r in N.near_duplicates(frame).where("rec_a is not null").collect()} == {("d", "e")}
     assert N.near_duplicates(frame.limit(0)).count() == 0
     assert {r["rec_key"]: r["n_copies"] for r in N.near_duplicate_classes(frame).collect()}["d"] == 2
+
+
+def told(seed, n):
+    """Texts of few phrases and many names, one in five an edit of another."""
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choice("bdgkpvwxz") + rng.choice("aeiou") + rng.choice("bdgkpvwxz") for _ in range(2))
+    phrases = [[" ".join(rng.choice(w) for _ in range(3)) for _ in range(12)] for w in (WORDS[:12], WORDS[12:24], ["это", "город", "зонт", "вечер"])]
+    out: list[str] = []
+    for _ in range(n):
+        if out and rng.random() < 0.2:
+            words = rng.choice(out).split()
+            for _ in range(rng.randrange(1, 7)):
+                words[rng.randrange(len(words))] = name()
+            out.append(" ".join(words))
+        else:
+            phrase = rng.choice(phrases)
+            out.append(" ".join(f"{rng.choice(phrase)} {name()} {rng.choice(phrase)} {name()}" for _ in range(rng.randrange(2, 6))))
+    return out
+
+
+def test_common_sequences_share_a_list_without_loss(spark):
+    rows = [(f"r{i:03d}", t) for i, t in enumerate(told(4, 260))]
+    of = N.members(spark.createDataFrame(rows, "rec_key string, text string"))
+    text = {r["class_id"]: r["rec_key"] for r in of.collect()}
+    wanted = {p for p in brute(rows) if N.compared(dict(rows)[p[0]]) != N.compared(dict(rows)[p[1]])}
+    for least, hot in ((1 << 30, 20_000), (20, 20_000), (3, 20_000), (3, 7)):
+        got = [tuple(sorted((text[r[0]], text[r[1]]))) for r in N.class_links(of, least=least, hot=hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 30
+
+
+def joined(texts, least):
+    """Rows that are indexed, and pairs of numbers that are compared in full."""
+    batch = pa.RecordBatch.from_pydict({"text": texts, "family": [N.family_of(t) for t in texts], "class_no": list(range(len(texts)))})
+    cells = next(N.count_cells(iter([batch])))
+    sketch = np.zeros(N.COUNTS, np.uint32)
+    sketch[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    kinds = N.kinds_of(texts)
+    lists = pa.Table.from_batches(N.postings(lambda: (sketch, kinds), 0.6, 20_000, least)(iter([batch]))).sort_by([("key", "ascending"), ("place", "ascending")])
+    found = N.join_lists(0.6)(iter(lists.to_batches(max_chunksize=1000)))
+    return lists.num_rows, {(a, b) for x in found for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+
+
+def test_lists_and_comparisons_stay_few_where_all_sequences_are_common():
+    texts = sorted({t for t in map(N.compared, told(8, 3000)) if len(t) >= N.MIN_LENGTH})
+    rows, compared = joined(texts, N.LEAST_COMMON)
+    plain_rows, plain = joined(texts, 1 << 30)
+    sets = [set(N.sequences(t).tolist()) for t in texts]
+    near = {(a, b) for a, b in plain if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]) - 1e-12}
+    assert len(near) > 300 and near <= compared <= plain
+    assert len(compared) < 1.5 * len(near) and rows < 0.5 * plain_rows
+
+
+def test_odd_sets_in_a_shared_list():
+    assert (N.kinds_of([]) == N.TOPICS).all() and (N.kinds_of(["", "a"]) == N.TOPICS).all() and N.kinds_of(["abc" * 30] * 3).min() == 0
+    long = N.compared(" ".join(told(5, 400)))
+    texts = [long, long[:-9], long[40:] + "xyzzyx", *({N.compared(t) for t in told(6, 200)})]
+    assert {(0, 1), (0, 2), (1, 2)} <= joined(texts, 2)[1]
+    points = np.random.default_rng(1).integers(0, 9, (1000, 3))
+    assert sorted(N.boxed(points, 64).tolist()) == list(range(1000))

@@ -76,6 +76,12 @@ def compared(text: str | None) -> str:
     return OTHER.sub("", unicodedata.normalize("NFKC", text or "").lower())
 
 
+def compared_if_long(text: str | None) -> str:
+    """The compared form; nothing where it must be too short, as taking characters out makes it no longer."""
+    form = unicodedata.normalize("NFKC", text or "").lower()
+    return OTHER.sub("", form) if len(form) >= MIN_LENGTH else ""
+
+
 def sequences(text: str) -> np.ndarray:
     """The distinct substrings of WIDTH characters, packed into integers without collisions."""
     cps = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -112,7 +118,7 @@ def family_of(text: str) -> int:
 
 def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [compared(t) for t in batch.column("text").to_pylist()]
+        texts = [compared_if_long(t) for t in batch.column("text").to_pylist()]
         keep = [k for k, t in enumerate(texts) if len(t) >= MIN_LENGTH]
         columns = [batch.column("rec_key").take(pa.array(keep, pa.int64())), pa.array([texts[k] for k in keep], pa.string()), pa.array([family_of(texts[k]) for k in keep], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["rec_key", "text", "family"])

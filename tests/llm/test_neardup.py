@@ -149,3 +149,10 @@ def test_odd_sets_in_a_shared_list():
     assert {(0, 1), (0, 2), (1, 2)} <= joined(texts, 2)[1]
     points = np.random.default_rng(1).integers(0, 9, (1000, 3))
     assert sorted(N.boxed(points, 64).tolist()) == list(range(1000))
+
+
+def test_only_texts_that_are_long_when_compared_are_kept():
+    assert N.compared_if_long(None) == "" and N.compared_if_long("a " * 79) == "a" * 79 and N.compared_if_long("a" * 79) == ""
+    for text in ("ﷺ" * 6, "A-" * 80, "İ" * 40, "ß" * 80, "½" * 40, "x" * 81):
+        assert (N.compared_if_long(text) == N.compared(text)) or len(N.compared(text)) < N.MIN_LENGTH
+    assert len(N.compared_if_long("ﷺ" * 6)) >= N.MIN_LENGTH

@@ -167,7 +167,7 @@ def text_lines(plain: list[str]) -> list[str]:
 
 
 #: Of each distinct sequence of ENDING codes of a language (ORDER + 1 where endings are not asked for): its last six codes in two numbers, hashes of its last 6, 7 and 8 codes (0 where the
-#: row has fewer), how often it occurs, how often a sentence ends after it and how often a row does.
+#: row has fewer, or where the last one is BLANK or STOP, which no sentence ends after), how often it occurs, how often a sentence ends after it and how often a row does.
 SEQUENCES = ("a", "b", "h6", "h7", "h8", "n", "ends", "lasts")
 
 
@@ -181,13 +181,14 @@ def count_sequences(codes: np.ndarray, starts: np.ndarray, endings: bool = True)
     within = np.arange(len(codes)) - np.repeat(starts[:-1], length)
     last = np.zeros(len(codes), bool)
     last[starts[1:][length > 0] - 1] = True
-    end = (np.append(codes[1:], STOP)[: len(codes)] == STOP) & (codes != BLANK) & (codes != STOP) & ~last
-    key = hashes[-1][place]
+    inner = (codes != BLANK) & (codes != STOP)  # no longer contexts are asked for after the others
+    end = (np.append(codes[1:], STOP)[: len(codes)] == STOP) & inner & ~last
+    key = np.where(inner, hashes[-1][place], hashes[ORDER][place])
     order = np.argsort(key)
     heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(order) else order
     first = order[heads]
     at = [padded[place[first] - k].astype(np.int64) for k in range(ORDER + 1)]
-    longer = [np.where(within[first] >= k - 1, hashes[k - 1][place[first]] if endings else 0, 0).astype(np.uint64).view(np.int64) for k in range(ORDER + 1, ENDING + 1)]
+    longer = [np.where((within[first] >= k - 1) & inner[first], hashes[k - 1][place[first]] if endings else 0, 0).astype(np.uint64).view(np.int64) for k in range(ORDER + 1, ENDING + 1)]
     sums = [np.add.reduceat(x[order].astype(np.int64), heads) if len(heads) else heads for x in (np.ones(len(codes), bool), end, last)]
     return [at[5] << 42 | at[4] << 21 | at[3], at[2] << 42 | at[1] << 21 | at[0], *longer, *sums]
 
@@ -212,15 +213,18 @@ def count_texts(words: Callable[[str], list[str]] | None = None, endings: bool =
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, LANGUAGES.index(lang), np.int32)), pa.array(np.full(n, held)), pa.nulls(n, pa.string()), *map(pa.array, columns)], names=NAMES)
 
         for batch in batches:
-            plain = (t for low in range(0, batch.num_rows, 200) for t in plain_list(batch.column("text").slice(low, 200).to_pylist()))
-            for lang, held, text in zip(batch.column("lang").to_pylist(), batch.column("held").to_pylist(), plain):
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                plain, langs = plain_list(part.column("text").to_pylist()), part.column("lang").to_pylist()
                 if words:
-                    said.setdefault(lang, Counter()).update(words(text.lower()))
-                more = text_lines([text])
-                lines.setdefault((lang, held), []).extend(more)
-                size[lang, held] += sum(map(len, more))
-                if size[lang, held] > chunk:
-                    yield counted(lang, held)
+                    for one in dict.fromkeys(langs):  # no word goes on in another line
+                        said.setdefault(one, Counter()).update(words("\n".join(t for lang, t in zip(langs, plain) if lang == one).lower()))
+                for lang, held, text in zip(langs, part.column("held").to_pylist(), plain):
+                    more = text_lines([text])
+                    lines.setdefault((lang, held), []).extend(more)
+                    size[lang, held] += sum(map(len, more))
+                    if size[lang, held] > chunk:
+                        yield counted(lang, held)
         for lang, held in list(lines):
             yield counted(lang, held)
         for lang, found in said.items():
@@ -432,23 +436,28 @@ def fitted(documents: DataFrame, words: Callable[[str], list[str]] | None = None
     Without calibration temperature and limit keep their first values.
     """
     texts = labelled_texts(documents)
+    if not calibrated:
+        texts = texts.withColumn("held", F.lit(False))  # one part, so that no sequence counts in two
     counted = cut_lineage(texts.distinct().mapInArrow(count_texts(words, endings), COUNTED))
     sequences = counted.where(F.col("word").isNull())
     sums = lambda *by: sequences.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "ends", "lasts")])
     every = sums("lang", "held", "a", "b").toArrow()
     longer = []
-    usable = sequences.where(~F.col("b").bitwiseAND((1 << 21) - 1).isin(BLANK, STOP))
-    by_lang = lambda x: [F.sum(F.when(F.col("lang") == k, x).otherwise(0)).alias(f"l{k}") for k in range(len(LANGUAGES))]
-    # what ends with none of the last characters of sentences ends none
-    usable = usable.join(F.broadcast(usable.where("ends > 0").select("h6").distinct()), "h6", "left_semi")
-    for name in ("h6", "h7", "h8") if endings else ():
-        held = usable.where(F.col(name) != 0).groupBy(name).agg(*by_lang(F.col("n") - F.col("lasts")), F.array(*by_lang(F.col("ends"))).alias("ends"), F.sum("ends").alias("some"))
-        rows = held.where("some > 0").orderBy(name).toArrow()
-        keys = rows.column(name).to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        followed = np.stack([rows.column(f"l{k}").to_numpy() for k in range(len(LANGUAGES))], 1)
-        ended = np.array(rows.column("ends").to_pylist(), np.int64).reshape(-1, len(LANGUAGES))
-        longer.append((keys[order], followed[order], ended[order]))
+    if endings:
+        usable = sequences.where(~F.col("b").bitwiseAND((1 << 21) - 1).isin(BLANK, STOP))
+        # what ends with none of the last characters of sentences ends none
+        usable = usable.join(F.broadcast(usable.where("ends > 0").select("h6").distinct()), "h6", "left_semi")
+        contexts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in range(ORDER + 1, ENDING + 1)])).alias("c")
+        by_lang = lambda c: [F.sum(F.when(F.col("lang") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(len(LANGUAGES))]
+        # all lengths in one pass over the sequences
+        held = usable.select("lang", (F.col("n") - F.col("lasts")).alias("followed"), "ends", contexts).where("c.h != 0").groupBy("c.k", "c.h").agg(*by_lang("followed"), *by_lang("ends"), F.sum("ends").alias("some"))
+        rows = held.where("some > 0").drop("some").toArrow()
+        length, keys = rows.column("k").to_numpy(), rows.column("h").to_numpy().view(np.uint64)
+        tallies = [np.stack([rows.column(f"{c}{k}").to_numpy() for k in range(len(LANGUAGES))], 1) for c in ("followed", "ends")]
+        for k in range(ORDER + 1, ENDING + 1):
+            at = np.flatnonzero(length == k)
+            at = at[np.argsort(keys[at])]
+            longer.append((keys[at], *(x[at] for x in tallies)))
 
     def counts(of: pa.Table) -> Counts:
         both = of.group_by(["lang", "a", "b"]).aggregate([(c, "sum") for c in ("n", "ends", "lasts")])

@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.llm.langmodel import DENSE, LANGUAGES, Models, folded
-from cuelattice.llm.plainform import plain_list
+from cuelattice.llm.plainform import N, encode, plain_list
 
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 # By language, words of declining (D), being unable (N) and able (A), translating (T), serving (S),
@@ -157,11 +158,7 @@ NAMES = {
 }
 MARKS = ".!?…。！？"
 CLOSERS = "\"'”’»」』)）]"
-TAIL = regex.compile(r"(?:[\s\p{P}\p{S}\p{No}\p{Cf}]|\s\p{L}?\p{No}+)+$")
-SENTENCE = regex.compile(rf"[{regex.escape(MARKS)}]+(?=[\s{regex.escape(CLOSERS)}]|$|[^\p{{ASCII}}])")
 FENCE = regex.compile(r"^```\w*\s*|\s*```$")
-WORD = regex.compile(r"[\p{L}\p{M}]+")
-WORD_OR_NUMBER = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 SAID = regex.compile(r"[\p{L}\p{N}]")
 SIGN = regex.compile(r"[^\p{L}\p{P}]")
 HALVES = regex.compile("[\ud800-\udfff]")
@@ -175,8 +172,67 @@ SHORT = 0.7
 KNOWN_WORDS = 0.5
 
 
-def letters(text: str | None) -> int:
-    return sum(map(len, WORD.findall(text or "")))
+#: Classes of code points, a bit each.
+CLASSES = {
+    "word": r"[\p{L}\p{M}]+", "number": r"\p{N}+", "letter": r"\p{L}+", "other_number": r"\p{No}+", "blank": r"\s+", "beside": r"[\s\p{P}\p{S}\p{No}\p{Cf}]+",
+    "mark": rf"[{regex.escape(MARKS)}]+", "after": rf"(?:[\s{regex.escape(CLOSERS)}]|[^\p{{ASCII}}])+",
+}
+WORDS, NUMBER, LETTER, OTHER_NUMBER, SPACE, BESIDE, MARK, AFTER = (1 << k for k in range(len(CLASSES)))
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The classes of all code points; made once per Python worker."""
+    every = np.arange(N, dtype="<u4")
+    every[0xD800:0xE000] = 0xFFFD  # halves of characters
+    text, made = every.tobytes().decode("utf-32-le"), np.zeros(N, np.uint8)
+    for k, pattern in enumerate(CLASSES.values()):
+        for found in regex.finditer(pattern, text):
+            made[found.start() : found.end()] |= 1 << k
+    made[0xD800:0xE000] = 0
+    return made
+
+
+def rows_of(texts: list[str], between: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, and the row starts in them (rows + 1 values); what stands between two texts ends the row of the first."""
+    cps = np.frombuffer(between.join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + len(between))))
+    starts[-1] = len(cps)
+    return cps, starts
+
+
+def per_row(found: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many of the positions found, in order, each row has."""
+    return np.diff(np.searchsorted(found, starts))
+
+
+class Shapes:
+    """What plain texts are made of, a value each: letters (and marks), said (letters or digits), sentences, tail (where only signs and numbers follow), closed (whether those hold a sentence's end)."""
+
+    def __init__(self, texts: list[str]):
+        cps, starts = rows_of(texts)
+        kind = classes()[cps]
+        first = np.zeros(len(cps) + 1, bool)
+        first[starts] = True
+        self.letters = per_row(np.flatnonzero(kind & WORDS), starts)
+        self.said = per_row(np.flatnonzero(kind & (LETTER | NUMBER)), starts) > 0
+        # a letter may stand between a blank and a number
+        beside, mark = (kind & BESIDE) > 0, (kind & MARK) > 0
+        if len(cps):
+            amid = np.flatnonzero(((kind[1:-1] & LETTER) > 0) & ((kind[:-2] & SPACE) > 0) & ((kind[2:] & OTHER_NUMBER) > 0)) + 1
+            beside[amid[~first[amid] & ~first[amid + 1]]] = True
+        apart, ends = np.flatnonzero(~beside), np.flatnonzero(mark)
+        last = np.searchsorted(apart, starts[1:]) - 1
+        tail = np.maximum(starts[:-1], np.where(last >= 0, apart[last] + 1, 0) if len(apart) else 0)
+        self.tail = tail - starts[:-1]
+        self.closed = np.searchsorted(ends, starts[1:]) > np.searchsorted(ends, tail)
+        # marks in a row end one sentence where one of them is followed by a blank, a closing sign, a letter beyond ASCII or nothing
+        opens = mark & first[:-1]
+        opens[1:] |= mark[1:] & ~mark[:-1]
+        run = np.cumsum(opens)
+        ending = ends[first[ends + 1] | ((kind[np.minimum(ends + 1, max(0, len(cps) - 1))] & AFTER) > 0)]
+        ending = ending[np.append(True, run[ending][1:] != run[ending][:-1])[: len(ending)]]
+        self.sentences = per_row(ending, starts)
 
 
 @lru_cache(maxsize=1)
@@ -222,8 +278,17 @@ def refuses(source: str, answer: str) -> bool:
     return any(weight_of(k - said) >= BEYOND for k in likely)
 
 
-def canonical(text: str) -> str:
-    return "".join(WORD_OR_NUMBER.findall(text.casefold()))
+def canonical(folded_texts: list[str]) -> list[bytes]:
+    """Letters, marks and digits of case-folded texts in UTF-8."""
+    cps, starts = rows_of(folded_texts)
+    keep = np.flatnonzero(classes()[cps] & (WORDS | NUMBER))
+    return encode(cps[keep], np.searchsorted(keep, starts)).cast(pa.large_binary()).to_pylist()
+
+
+@lru_cache(maxsize=1 << 12)
+def copy_params(window: int, end: int, source: int) -> zstandard.ZstdCompressionParameters:
+    options = {"window_log": window, "write_checksum": False, "write_content_size": False, "write_dict_id": False, "format": zstandard.FORMAT_ZSTD1_MAGICLESS}
+    return zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=end, dict_size=source, **options)
 
 
 def copy_bytes(source: bytes, answer: bytes) -> int:
@@ -233,8 +298,7 @@ def copy_bytes(source: bytes, answer: bytes) -> int:
     """
     end = answer[max(0, len(answer) - len(source)) :]
     window = min(27, max(10, (len(source) + len(end) + 64).bit_length()))
-    options = {"window_log": window, "write_checksum": False, "write_content_size": False, "write_dict_id": False, "format": zstandard.FORMAT_ZSTD1_MAGICLESS}
-    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=len(end), dict_size=len(source), **options)
+    params = copy_params(window, len(end), len(source))
     known = zstandard.ZstdCompressionDict(source, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(source) >= 8 else None  # shorter ones are no dictionary
     return len(zstandard.ZstdCompressor(compression_params=params, dict_data=known).compress(end))
 
@@ -246,10 +310,37 @@ def copy_bound(size: int) -> int:
 
 def is_copy(source: str, answer: str) -> bool:
     """Both in plain form: the source is all of the answer but a lead-in of any length."""
-    s, a = canonical(source).encode(), canonical(answer).encode()
-    if not s or len(a) < len(s):
+    return gives_back(*canonical([source.casefold(), answer.casefold()]))
+
+
+def gives_back(source: bytes, answer: bytes) -> bool:
+    """is_copy of canonical forms."""
+    if not source or len(answer) < len(source):
         return False
-    return copy_bytes(s, a) <= copy_bound(len(s)) and a.endswith(s)
+    return copy_bytes(source, answer) <= copy_bound(len(source)) and answer.endswith(source)
+
+
+def cut_words(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Words of all texts in order, and how many each text has; words that begin with a Han letter or kana as sequences of two letters."""
+    cps, starts = rows_of(texts, "\n")
+    inside = (classes()[cps] & WORDS) > 0
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    heads, lengths = edges[::2], edges[1::2] - edges[::2]
+    one = cps[heads]
+    dense = (one >= 0x2E80) & (one <= 0x9FFF) | (one >= 0x20000)
+    out, many = np.where(inside, cps, np.uint32(0x20)), np.ones(len(heads), np.int64)
+    if dense.any():
+        many[dense] = np.maximum(1, lengths[dense] - 1)
+        within = np.zeros(len(cps), bool)
+        within[inside] = np.repeat(dense, lengths)
+        within[heads] = within[heads + lengths - 1] = False
+        # letters between the first and the last one end a sequence and begin the next
+        times = np.where(within, 3, 1)
+        upto = np.cumsum(times)
+        out = np.repeat(out, times)
+        out[upto[within] - 2] = 0x20
+    upto = np.concatenate(([0], np.cumsum(many)))
+    return np.ascontiguousarray(out, "<u4").tobytes().decode("utf-32-le").split(), np.diff(upto[np.searchsorted(heads, starts)])
 
 
 class WordBook:
@@ -279,23 +370,27 @@ class WordBook:
     def _weigh(self, counts: dict[str, np.ndarray], total: np.ndarray) -> None:
         total = np.maximum(1.0, total)
         # words met once are names more often than words
-        self.weight = {w: np.log((c + 0.02) / total) for w, c in counts.items() if c.sum() > 1}
+        often = {w: c for w, c in counts.items() if c.sum() > 1}
+        self.place = {w: k for k, w in enumerate(often)}
+        self.table = np.log((np.stack([*often.values()]) + 0.02) / total) if often else np.zeros((0, len(LANGUAGES)), np.float32)
+
+    @property
+    def weight(self) -> dict[str, np.ndarray]:
+        return {w: self.table[k] for w, k in self.place.items()}
 
     @staticmethod
     def words(text: str) -> list[str]:
-        found = []
-        for word in WORD.findall(text):
-            if "⺀" <= word[0] <= "鿿" or "\U00020000" <= word[0]:
-                found += [word[i : i + 2] for i in range(max(1, len(word) - 1))]
-            else:
-                found.append(word)
-        return found
+        return cut_words([text])[0]
 
-    def scores(self, text: str) -> tuple[np.ndarray | None, float]:
-        """Score by language, and the share of the words that the book knows."""
-        words = self.words(text.lower())
-        known = [self.weight[w] for w in words if w in self.weight]
-        return (np.sum(known, axis=0) if known else None), len(known) / max(1, len(words))
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the score by language, how many words the book knows, and their share."""
+        words, many = cut_words([t.lower() for t in texts])
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        of = np.repeat(np.arange(len(texts)), many)[at >= 0]
+        values = self.table[at[at >= 0]]
+        by_lang = np.stack([np.bincount(of, values[:, k], len(texts)) for k in range(len(LANGUAGES))], 1)
+        known = np.bincount(of, minlength=len(texts))
+        return by_lang, known, known / np.maximum(1, many)
 
 
 def whole_characters(text: str) -> str:
@@ -330,21 +425,15 @@ class Judge:
         self.models, self.book = models, book
 
     def languages(self, plain: list[str]) -> list[int]:
-        out, unknown = [0] * len(plain), []
-        for k, text in enumerate(plain):
-            book, known = self.book.scores(text)
-            if book is not None and known >= KNOWN_WORDS:
-                out[k] = int(book.argmax())
-            else:
-                unknown.append(k)
-        if unknown:
-            codes, starts, _ = folded(pa.array([plain[k] for k in unknown], pa.large_string()))
+        by_book, known, share = self.book.scores(plain)
+        out = by_book.argmax(1)
+        unknown = np.flatnonzero((known == 0) | (share < KNOWN_WORDS))
+        if len(unknown):
+            codes, starts, _ = folded(pa.array([plain[k] for k in unknown.tolist()], pa.large_string()))
             rows = np.repeat(np.arange(len(unknown)), np.diff(starts))
             score = self.models.score(codes, starts)
-            by_model = np.stack([np.bincount(rows, score[:, k], len(unknown)) for k in range(len(LANGUAGES))], 1)
-            for k, lang in zip(unknown, by_model.argmax(1).tolist()):
-                out[k] = lang
-        return out
+            out[unknown] = np.stack([np.bincount(rows, score[:, k], len(unknown)) for k in range(len(LANGUAGES))], 1).argmax(1)
+        return out.tolist()
 
     def lines(self, every: list[tuple[str, str | None, int]]) -> list[str | None]:
         """Defect of each source, answer and index of the target language (-1: unknown)."""
@@ -356,50 +445,59 @@ class Judge:
         source = plain_list([s or "" for s, _, _ in pairs])
         answer = plain_list([a or "" for _, a, _ in pairs])
         from_lang, to_lang = self.languages(source), self.languages(answer)
-        bare = [TAIL.sub("", a) for a in answer]
-        codes, starts, _ = folded(pa.array(bare, pa.large_string()))
+        of_source, of_answer = Shapes(source), Shapes(answer)
+        told, given = (x.letters.tolist() for x in (of_source, of_answer))
+        canonical_source, canonical_answer = (canonical([t.casefold() for t in x]) for x in (source, answer))
+        codes, starts, _ = folded(pa.array([a[:k] for a, k in zip(answer, of_answer.tail.tolist())], pa.large_string()))
         end = self.models.ending(codes, starts, "sentence")
         out: list[str | None] = []
-        for k, (_, _, target) in enumerate(pairs):
+        for k, ((_, _, target), said) in enumerate(zip(pairs, of_answer.said.tolist())):
             s, a = source[k], answer[k]
-            if not SAID.search(a):
+            if not said:
                 out.append("empty")
                 continue
             if refuses(s, a):
                 out.append("refusal")
                 continue
             least = 6 if LANGUAGES[from_lang[k]] in DENSE else 12
-            if letters(s) < least:
+            if told[k] < least:
                 out.append(None)
                 continue
             native = from_lang[k] == target
-            copied = is_copy(s, a)
+            copied = gives_back(canonical_source[k], canonical_answer[k])
             if copied:
                 out.append(None if native else "copy")
-            elif target >= 0 and to_lang[k] not in (target, from_lang[k]) and letters(a) >= (3 if LANGUAGES[to_lang[k]] in DENSE else 6):
+            elif target >= 0 and to_lang[k] not in (target, from_lang[k]) and given[k] >= (3 if LANGUAGES[to_lang[k]] in DENSE else 6):
                 out.append("wrong_language")
             else:
                 to = target if target >= 0 else to_lang[k]
-                expected = letters(s) * self.models.sentence[to] / self.models.sentence[from_lang[k]]
-                out.append("truncated" if self.stops_early(s, a, float(end[k, to]), letters(a) / expected) else None)
+                expected = told[k] * self.models.sentence[to] / self.models.sentence[from_lang[k]]
+                sentences = int(of_answer.sentences[k]) - int(of_source.sentences[k])
+                out.append("truncated" if self.stops_early(s, a, sentences, bool(of_source.closed[k]), bool(of_answer.closed[k]), float(end[k, to]), given[k] / expected) else None)
         return out
 
     @staticmethod
-    def stops_early(source: str, answer: str, rate: float, length: float) -> bool:
-        """rate: how often the answer's last letters end a sentence in its language; length: its letters as a share of those to be expected."""
-        asked, given = len(SENTENCE.findall(source)), len(SENTENCE.findall(answer))
-        last = source.split()[-1] if source.split() else ""
-        closing, closed = (any(x in MARKS for x in m.group()) if (m := TAIL.search(t)) else False for t in (source, answer))
-        if given < asked and closed:
+    def stops_early(source: str, answer: str, sentences: int, closing: bool, closed: bool, rate: float, length: float) -> bool:
+        """sentences: those of the answer less those of the source; closing, closed: whether source and answer end with one; rate: how often the answer's last letters end a sentence in its language; length: its letters as a share of those to be expected."""
+        last = (source.rsplit(None, 1) or [""])[-1]
+        if sentences < 0 and closed:
             return True
         # both end in the same sign or mark beside the text, so the answer came to the end
         if SIGN.search(last) and answer.endswith(last):
-            return given < asked
+            return sentences < 0
         if closing and not closed:
-            return rate < UNLIKELY or length < SHORT or given < asked - 1
+            return rate < UNLIKELY or length < SHORT or sentences < -1
         return not closed and rate < UNFINISHED
 
 
+def lists(column: pa.ListArray) -> Iterator[list[str | None] | None]:
+    """Its values as lists; null stays None."""
+    values, at = column.flatten().to_pylist(), 0
+    for n in column.value_lengths().to_pylist():
+        yield None if n is None else values[at : at + n]
+        at += n or 0
+
+
 def judge(load: Callable[[], tuple[Models, WordBook]]) -> Callable:
     """Arrow function: pair_key, target, sources, answers or content -> pair_key, defect."""
 
@@ -411,7 +509,7 @@ def judge(load: Callable[[], tuple[Models, WordBook]]) -> Callable:
             pairs: list[tuple[str, str | None, int]] = []
             owner: list[int] = []
             worst = [len(DEFECTS)] * len(keys)
-            for row, (target, sources, answers, content) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("target", "sources", "answers", "content")))):
+            for row, (target, sources, answers, content) in enumerate(zip(batch.column("target").to_pylist(), lists(batch.column("sources")), lists(batch.column("answers")), batch.column("content").to_pylist())):
                 at = LANGUAGES.index(target) if target in LANGUAGES else -1
                 sources = sources or [""]
                 broken = False

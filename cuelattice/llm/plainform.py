@@ -62,6 +62,8 @@ COMPATIBILITY_SPANS = [
     (0xFFA1, 0xFFDC), (0x2F800, 0x2FA1F),
 ]
 N = 0x110000
+#: From here to 0xE0000 no character is assigned.
+ASSIGNED = 0x323B0
 ZWJ = 0x200D
 LATIN, CYRILLIC, GREEK = 1, 2, 3
 
@@ -84,14 +86,14 @@ def tables() -> dict:
         flat.extend(map(ord, text))
 
     drawn, dropped = set(DRAWN_FORMATS), []
-    for cp in range(N):
+    for cp in [*range(ASSIGNED), *range(0xE0000, 0xE01F0)]:  # beyond them all are unassigned or selectors
         if 0xAC00 <= cp <= 0xD7A3:
             letter[cp] = True
             continue
         if 0x3400 <= cp <= 0x9FFF or 0x17000 <= cp <= 0x187FF or 0x20000 <= cp <= 0x2EBE0 or 0x30000 <= cp <= 0x323AF:
             letter[cp] = unicodedata.category(chr(cp))[0] == "L" if cp < 0x20000 else True
             continue
-        if 0xD800 <= cp <= 0xF8FF or cp >= 0xE01F0:
+        if 0xD800 <= cp <= 0xF8FF:
             continue
         ch = chr(cp)
         category = unicodedata.category(ch)

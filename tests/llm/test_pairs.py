@@ -3,6 +3,8 @@
 import json
 import random
 
+import regex
+
 from cuelattice.llm import pairs as P
 from cuelattice.llm.langmodel import LANGUAGES
 from tests.llm.fixture import PHRASES, documents, models, sentence
@@ -130,3 +132,28 @@ def test_without_models_or_words():
 
     judge = P.Judge(fit([]), P.WordBook([]))
     assert judge.lines([(S, "", 0), (S, "I cannot translate this content.", 1), (S, G, 1)])[:2] == ["empty", "refusal"]
+
+
+def test_texts_of_a_batch_are_taken_apart_together(monkeypatch):
+    """By a few passes over all of them, with what the expressions find in each."""
+    rng = random.Random(5)
+    signs = list("aB éß.!?…。！？\n\t　\"')」』](«²³½①7٣\u0301\u200b木箱のカ한글Σσς-–★♪ \x1c\x85\U00020001\U0001f600İŉ,;")
+    texts = ["".join(rng.choice(signs) for _ in range(rng.choice([0, 0, 1, 2, 3, 5, 9, 20, 60]))) for _ in range(4000)]
+    tail = regex.compile(r"(?:[\s\p{P}\p{S}\p{No}\p{Cf}]|\s\p{L}?\p{No}+)+$")
+    sentences = regex.compile(rf"[{regex.escape(P.MARKS)}]+(?=[\s{regex.escape(P.CLOSERS)}]|$|[^\p{{ASCII}}])")
+    word = regex.compile(r"[\p{L}\p{M}]+")
+    got, words = P.Shapes(texts), []
+    for k, t in enumerate(texts):
+        end = t[len(tail.sub("", t)) :]
+        seen = (got.letters[k], got.said[k], got.sentences[k], t[got.tail[k] :], got.closed[k])
+        assert seen == (sum(map(len, word.findall(t))), bool(P.SAID.search(t)), len(sentences.findall(t)), end, any(x in P.MARKS for x in end)), t
+        found = word.findall(t.lower())
+        words.append([x for w in found for x in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if "⺀" <= w[0] <= "鿿" or "\U00020000" <= w[0] else [w])])
+    cut, many = P.cut_words([t.lower() for t in texts])
+    assert cut == [w for x in words for w in x] and many.tolist() == list(map(len, words))
+    assert P.canonical([t.casefold() for t in texts]) == ["".join(regex.findall(r"[\p{L}\p{M}\p{N}]+", t.casefold())).encode() for t in texts]
+    passes, cut_words = [], P.cut_words
+    judge = P.Judge(models(), P.WordBook(documents()))
+    monkeypatch.setattr(P, "cut_words", lambda x: passes.append(len(x)) or cut_words(x))
+    judge.lines([(sentence("en", k, k // 4, k // 16), sentence("de", k, k // 4, k // 16), 1) for k in range(64)])
+    assert passes == [64, 64]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from cuelattice.llm.plainform import plain_array, plain_form, plain_list
+from cuelattice.llm.plainform import ASSIGNED, plain_array, plain_form, plain_list
 
 PAIRS = {
     "Ａ　medianoche": "A medianoche", "ｱﾊﾞｶﾞﾊﾟ": "アバガパ", "été": "été", "각x": "각x", "pian‍o": "piano", "so­ft﻿": "soft",
@@ -57,3 +57,7 @@ def test_other_cyrillic_languages_keep_their_letters(text):
 
 def test_look_alikes_that_russian_lacks_stand_for_latin_letters():
     assert plain_list(["sіster and mom", "ѕіх", "The ѕіх keys", "Her ѕister Іnes"]) == ["sister and mom", "six", "The six keys", "Her sister Ines"]
+
+
+def test_code_points_left_out_of_the_tables_are_unassigned():
+    assert {unicodedata.category(chr(cp)) for cp in range(ASSIGNED, 0xE0000)} == {"Cn"}

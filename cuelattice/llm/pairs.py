@@ -170,6 +170,8 @@ UNFINISHED, UNLIKELY = 0.02, 0.6
 #: An answer without the source's final mark and with less than this share of the letters to be expected stops early.
 SHORT = 0.7
 KNOWN_WORDS = 0.5
+#: Pairs are judged together up to so many characters, so that long texts don't fill the memory.
+AT_ONCE = 4_000_000
 
 
 #: Classes of code points, a bit each.
@@ -438,7 +440,12 @@ class Judge:
     def lines(self, every: list[tuple[str, str | None, int]]) -> list[str | None]:
         """Defect of each source, answer and index of the target language (-1: unknown)."""
         place = {pair: k for k, pair in enumerate(dict.fromkeys(every))}
-        found = self._distinct(list(place))
+        pairs, found, size = list(place), [], 0
+        for k, (s, a, _) in enumerate(pairs, 1):
+            size += len(s) + len(a or "")
+            if size > AT_ONCE or k == len(pairs):
+                found += self._distinct(pairs[len(found) : k])
+                size = 0
         return [found[place[pair]] for pair in every]
 
     def _distinct(self, pairs: list[tuple[str, str | None, int]]) -> list[str | None]:

@@ -157,3 +157,7 @@ def test_texts_of_a_batch_are_taken_apart_together(monkeypatch):
     monkeypatch.setattr(P, "cut_words", lambda x: passes.append(len(x)) or cut_words(x))
     judge.lines([(sentence("en", k, k // 4, k // 16), sentence("de", k, k // 4, k // 16), 1) for k in range(64)])
     assert passes == [64, 64]
+    pairs = [(S, x, 1) for x in (G, "", S, G[:-8], G + " " + G)]
+    whole = judge.lines(pairs)
+    monkeypatch.setattr(P, "AT_ONCE", len(S) + len(G))
+    assert judge.lines(pairs) == whole and whole[1:4] == ["empty", "copy", "truncated"] and judge.lines([]) == []
